@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 #: Input bytes (as stored) for which one bucket of packed records is planned.
 BUCKET_BYTES = 4 << 20
+#: Assumed for a row where the optimizer knows no size.
+ROW_BYTES = 2 << 10
 MIN_BUCKETS, MAX_BUCKETS = 96, 1 << 16
 
 
@@ -43,8 +45,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of df's size; for a file scan, the files' bytes."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    """The optimizer's estimate of df's size (for a file scan, the files' bytes), or where it has none, from a count."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else df.count() * ROW_BYTES
 
 
 def buckets_for(size: int) -> int:

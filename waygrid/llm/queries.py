@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .packing import pack_best_fit, pieces
 from .pii import pii
 from .secrets import secrets
+from .suffix_dedup import suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,12 +28,16 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_best_fit(pieces(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_secret_scan, op4_best_fit_packing, op10_pii)}
+    return {f.__name__: f for f in (op3_secret_scan, op4_best_fit_packing, op7_suffix_dedup, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
