@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .jaccard_join import jaccard_join
 from .packing import pack_best_fit, pieces
 from .pii import pii
 from .secrets import secrets
@@ -32,12 +33,16 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_secret_scan, op4_best_fit_packing, op7_suffix_dedup, op10_pii)}
+    return {f.__name__: f for f in (op3_secret_scan, op4_best_fit_packing, op7_suffix_dedup, op8_jaccard_join, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
