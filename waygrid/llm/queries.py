@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .jaccard_join import jaccard_join
+from .lm_score import held_out_by_id, lm_score
 from .packing import pack_best_fit, pieces
 from .pii import pii
 from .secrets import secrets
@@ -29,6 +30,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_best_fit(pieces(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(table(spark, sf_dir, "documents"), held_out_by_id("doc_id", 7, 2))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
@@ -42,7 +47,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_secret_scan, op4_best_fit_packing, op7_suffix_dedup, op8_jaccard_join, op10_pii)}
+    return {f.__name__: f for f in (op3_secret_scan, op4_best_fit_packing, op6_lm_score, op7_suffix_dedup, op8_jaccard_join, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
