@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .jaccard_join import jaccard_join
+from .language_id import language_id
 from .lm_score import held_out_by_id, lm_score
 from .packing import pack_best_fit, pieces
 from .pii import pii
 from .secrets import secrets
 from .suffix_dedup import suffix_dedup
+from .toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +32,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_best_fit(pieces(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"), held_out_by_id("doc_id", 5, 0))
+
+
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(table(spark, sf_dir, "documents"), held_out_by_id("doc_id", 7, 2))
 
@@ -42,12 +48,16 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out_by_id("doc_id", 3, 1))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_secret_scan, op4_best_fit_packing, op6_lm_score, op7_suffix_dedup, op8_jaccard_join, op10_pii)}
+    return {f.__name__: f for f in (op3_secret_scan, op4_best_fit_packing, op5_language_id, op6_lm_score, op7_suffix_dedup, op8_jaccard_join, op9_toxicity, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
