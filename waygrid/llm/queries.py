@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .jaccard_join import jaccard_join
 from .language_id import language_id
@@ -13,6 +14,7 @@ from .packing import pack_best_fit, pieces
 from .pii import pii
 from .secrets import secrets
 from .suffix_dedup import suffix_dedup
+from .topk_search import top_k
 from .toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +24,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, c -> CAST(floor(CAST(c AS DOUBLE) * 1024) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, x.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(x.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v x ON q.vec_id % 100 = 0 AND x.vec_id <> q.vec_id
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank", vec_id, score FROM s
+)
+SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 10
+"""
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents")).drop("span_list")
 
@@ -57,8 +77,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_secret_scan, op4_best_fit_packing, op5_language_id, op6_lm_score, op7_suffix_dedup, op8_jaccard_join, op9_toxicity, op10_pii)}
+    return {f.__name__: f for f in (op1_topk_search, op3_secret_scan, op4_best_fit_packing, op5_language_id, op6_lm_score, op7_suffix_dedup, op8_jaccard_join, op9_toxicity, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_topk_search": OP1_SQL}
