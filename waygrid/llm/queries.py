@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import contamination
 from .jaccard_join import jaccard_join
 from .language_id import language_id
 from .lm_score import held_out_by_id, lm_score
@@ -42,6 +43,10 @@ SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 10
 """
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents")).drop("span_list")
 
@@ -77,7 +82,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_topk_search, op3_secret_scan, op4_best_fit_packing, op5_language_id, op6_lm_score, op7_suffix_dedup, op8_jaccard_join, op9_toxicity, op10_pii)}
+    return {f.__name__: f for f in (op1_topk_search, op2_decontamination, op3_secret_scan, op4_best_fit_packing, op5_language_id, op6_lm_score, op7_suffix_dedup, op8_jaccard_join, op9_toxicity, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
