@@ -52,7 +52,7 @@ SIG = np.dtype([("s", "<u4"), ("t", "<u2"), ("n", "<i8")])
 RATIO = 1.5
 #: Signatures that a batch gathers before it sends them, and members in one row of a group.
 BATCH, ROW = 1 << 20, 4096
-ROWS = "kind int,a long,b long,size int,blob binary"
+ROWS = "kind int,a long,b long,mark long,size int,blob binary"
 
 
 @lru_cache(1 << 16)
@@ -139,12 +139,12 @@ def apart(x: bytes, y: bytes) -> int:
 
 
 def describe(rows: DataFrame, words: int, percent: int, slots: int) -> DataFrame:
-    """(kind, a, b, size, blob): 0, signatures to bucket a; 1, a document: id, node, size, bit sketch."""
+    """(kind, a, b, mark, size, blob): 0, signatures to bucket a; 1, a document: id, node, mark, size, bit sketch."""
     schema = arrow_schema(ROWS)
 
-    def batch_of(kind, a, b, size, blob):
+    def batch_of(kind, a, b, mark, size, blob):
         n = len(a)
-        return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(size, pa.int32()), pa.array(blob, pa.binary())], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(mark, pa.int64()), pa.array(size, pa.int32()), pa.array(blob, pa.binary())], schema=schema)
 
     def run(batches):
         hashes, known, sigs, nodes, held = WordHashes(), set(), [], [], 0
@@ -154,13 +154,13 @@ def describe(rows: DataFrame, words: int, percent: int, slots: int) -> DataFrame
             out = np.empty(len(sig), SIG)
             out["s"], out["t"], out["n"] = sig & np.uint64(0xFFFFFFFF), (sig >> np.uint64(32)) & np.uint64(0xFFFF), node
             slot, blob = pack(out, ((sig >> np.uint64(48)) % np.uint64(slots)).astype(np.int64), slots)
-            return batch_of(0, slot, [0] * len(slot), [0] * len(slot), blob)
+            return batch_of(0, slot, [0] * len(slot), [0] * len(slot), [0] * len(slot), blob)
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
             sets = [shingles(hashes.of(t), words) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             names = [node_of(s) if len(s) else None for s in sets]
-            yield batch_of(1, ids, names, [len(s) for s in sets], [bit_sketch(s) if len(s) else None for s in sets])
+            yield batch_of(1, ids, names, batch.column(2), [len(s) for s in sets], [bit_sketch(s) if len(s) else None for s in sets])
             fresh = []
             for i, n, s in zip(ids, names, sets, strict=True):
                 if i is not None and n is not None and n not in known:
@@ -212,7 +212,7 @@ def group(described: DataFrame, tasks: int, slots: int) -> DataFrame:
                     blob.append(whole[8 * at : 8 * (at + ROW)])
         k, g = len(pairs), len(a)
         return pa.table(
-            [pa.array([0] * k + [2] * g, pa.int32()), pa.array([*pairs[:, 0].tolist(), *a], pa.int64()), pa.array([*pairs[:, 1].tolist(), *b], pa.int64()), pa.array([0] * (k + g), pa.int32()), pa.array([None] * k + blob, pa.binary())],
+            [pa.array([0] * k + [2] * g, pa.int32()), pa.array([*pairs[:, 0].tolist(), *a], pa.int64()), pa.array([*pairs[:, 1].tolist(), *b], pa.int64()), pa.array([0] * (k + g), pa.int64()), pa.array([0] * (k + g), pa.int32()), pa.array([None] * k + blob, pa.binary())],
             schema=schema,
         )
 
@@ -287,13 +287,15 @@ def compare(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int) ->
 
 
 def jaccard_join(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, n_links (links of its set to different sets that were verified)."""
+    """One row per input row: doc_id, n_shingles, component_id, n_links (links of its set to different
+    sets that were verified), and for callers that filter: mark (xxhash64 of the text) and label (the
+    class; null where the row links with nothing by definition)."""
     spark = session(docs)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slots = buckets_for(2 * stored_bytes(docs))
-    rows = text_or_empty(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body")), "body")
+    rows = text_or_empty(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body")), "body").withColumn("mark", F.xxhash64("body"))
     found = cut(group(describe(rows, words, percent, slots), tasks, slots))
-    members = found.where("kind = 1").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), "size", F.col("blob").alias("sketch"))
+    members = found.where("kind = 1").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), "mark", "size", F.col("blob").alias("sketch"))
     nodes = members.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
     linked = F.col("both") * 100 >= F.col("any") * percent
     tried = cut(compare(cut(near(found.where("kind = 0"), nodes, percent)), nodes, rows, words))
@@ -317,7 +319,20 @@ def jaccard_join(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str
     named = members.join(label, "node", "left").withColumn("label", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "node")))
     first = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     out = named.join(first, "label", "left").join(degree, "node", "left")
-    return out.select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "mark", "label")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, with one row of each class: that of the smallest id
+    (and mark, where ids repeat). Rows without an id or without words all stay."""
+    found = jaccard_join(docs, words, percent, id_col, text_col)
+    first = found.where("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "mark")).alias("x")).select("x.doc_id", "x.mark")
+    loose = found.where("label is null").select("doc_id", "mark").distinct()
+    with_mark = docs.withColumn("__mark", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).withColumn("__id", F.col(id_col).cast("long"))
+    match = F.col("__id").eqNullSafe(F.col("doc_id_")) & (F.col("__mark") == F.col("mark_"))
+    named = lambda df: df.select(F.col("doc_id").alias("doc_id_"), F.col("mark").alias("mark_"))
+    kept = with_mark.join(named(first), match, "left_semi").dropDuplicates(["__id", "__mark"])
+    return kept.unionByName(with_mark.join(named(loose), match, "left_semi")).drop("__mark", "__id")
 
 
 def across(placed: DataFrame, percent: int) -> DataFrame:

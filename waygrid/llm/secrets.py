@@ -69,22 +69,56 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: counts by kind, digest of the base spans, all spans, and
-    how many of the row's values are live-looking or widely copied; then the columns keep.
-
-    The array column span_list holds the spans as structs, for callers that redact.
-    """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"), F.col(repo_col).alias("repo"), F.col(owner_col).alias("owner"), F.struct(*[F.col(c) for c in keep] or [F.lit(0).alias("none")]).alias("kept"))
+def candidates(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, body, repo, owner) with the spans base and more, and a key that repeated rows share."""
     base, more = found(F.col("body"), F.lower("body"))
     rows = rows.withColumn("base", base).withColumn("more", more)
     rows = rows.withColumn("more", F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))))
-    rows = rows.withColumn("key", F.struct("doc_id", F.xxhash64("body", "repo", "owner").alias("h")))
+    return rows.withColumn("key", F.struct("doc_id", F.xxhash64("body", "repo", "owner").alias("h")))
+
+
+def judge(rows: DataFrame) -> DataFrame:
+    """(hash, key, x, n_repos, n_owners): each candidate span x with who else holds its value."""
     busy = rows.where(F.size("base") + F.size("more") > 0).select("key", "repo", "owner", F.explode(F.concat("base", "more")).alias("x"))
     busy = busy.select("key", "repo", "owner", "x", F.sha2(F.col("x.value"), 256).alias("hash"))
     held = busy.groupBy("hash", "repo", "owner").agg(F.lit(1).alias("one"))
     held = held.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos")).groupBy("hash").agg(F.sum("repos").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"))
-    judged = busy.select("key", "x", "hash").distinct().join(held, "hash")
+    return busy.select("key", "x", "hash").distinct().join(held, "hash")
+
+
+def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source", mask: str = "[REDACTED]") -> DataFrame:
+    """The rows of docs, all columns as they are but the text, in which mask takes the place of every span.
+
+    Only rows with candidates beyond the base spans meet the corpus-wide counts; other texts aren't shuffled.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"), F.col(repo_col).alias("repo"), F.col(owner_col).alias("owner"), F.struct(*[F.col(c) for c in docs.columns]).alias("kept"))
+    rows = candidates(rows)
+    live = judge(rows).where((F.col("x.kind") == "live") & (F.col("n_owners") < COPIED_OWNERS)).groupBy("key").agg(F.collect_list("x").alias("live")).withColumnRenamed("key", "of")
+    none = F.expr(f"cast(array() as array<{SPAN}>)")
+    plain = rows.where(F.size("more") == 0).withColumn("live", none)
+    asked = rows.where(F.size("more") > 0).join(live, F.col("key").eqNullSafe(F.col("of")), "left").drop("of").withColumn("live", F.coalesce("live", none))
+    both = plain.unionByName(asked).withColumn("spans", F.array_sort(F.concat("base", "live")))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        fresh = x["start"] >= acc["at"]
+        between = F.substring(F.col("body"), acc["at"] + 1, x["start"] - acc["at"])
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], between, F.lit(mask))).otherwise(acc["out"]).alias("out"))
+
+    text = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("body"), acc["at"] + 1, F.lit((1 << 31) - 1))))
+    text = F.when(F.size("spans") > 0, text).otherwise(F.col("kept")[text_col])
+    return both.select(*[text.alias(c) if c == text_col else F.col("kept")[c].alias(c) for c in docs.columns])
+
+
+def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: counts by kind, digest of the base spans, all spans, and
+    how many of the row's values are live-looking or widely copied; then the columns keep.
+
+    The array column span_list holds the spans as structs, for callers that redact.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"), F.col(repo_col).alias("repo"), F.col(owner_col).alias("owner"), F.struct(*[F.col(c) for c in keep] or [F.lit(0).alias("none")]).alias("kept"))
+    rows = candidates(rows)
+    judged = judge(rows)
     copied = F.col("n_owners") >= COPIED_OWNERS
     per_row = judged.groupBy("key").agg(
         F.collect_list(F.when((F.col("x.kind") == "live") & ~copied, F.col("x"))).alias("live"),

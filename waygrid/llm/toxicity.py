@@ -29,6 +29,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -298,3 +299,22 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: fl
         return step
 
     return map_rows(rows.select("doc_id", held_out.alias("held_out"), "body"), make, "doc_id long,held_out boolean,score double,predicted int,spans string")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose score is below threshold."""
+    spark = session(docs)
+    rows = text_or_empty(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body")), "body")
+    shared = spark.sparkContext.broadcast(train_field(rows, labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")), ~held_out))
+
+    def run(batches):
+        field = shared.value
+        found, nothing = Found(field), field.score(field.evidence([])) if field.odds else 0.0
+        for batch in batches:
+            keep = []
+            for text in batch.column(batch.schema.get_field_index(text_col)).to_pylist():
+                places, numbers, n = found.of(text or "")
+                keep.append((field.score(field.evidence(field.marginals(places, numbers, n))) if places else nothing) < threshold)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
