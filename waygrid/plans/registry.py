@@ -32,4 +32,8 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Cheapest-route matrix of the synthetic street network."""
+    return QUERIES["net188_matrix"](spark, sf_dir)
+
+
+from . import network, tables  # noqa: E402, F401  they register their queries
