@@ -27,6 +27,12 @@ def test_align():
         assert least_edits(p, t[got[1] : got[2]]) == got[0]
 
 
+def test_something_survives_every_budget():
+    for m in range(module.Q, 3000):
+        q, budget = module.gram_size(m), m // EDITS_IN
+        assert q >= 3 and m - q + 1 - q * budget >= 1
+
+
 def edited(rng, text, n):
     t = list(text)
     for _ in range(n):
@@ -47,11 +53,11 @@ def test_brute_force(spark, sf_dir, block, monkeypatch):
     rng = random.Random(7)
     word = lambda: "".join(rng.choices("abcde", k=rng.randint(1, 8)))
     prose = lambda n: " ".join(word() for _ in range(n))
-    items = [(i, prose(n)) for i, n in enumerate((2, 3, 10, 20, 40, 70))] + [(50, None), (51, "  "), (52, "abc"), (53, "zzzz  Zq")]
+    items = [(i, prose(n)) for i, n in enumerate((2, 3, 4, 10, 20, 40, 70))] + [(50, None), (51, "  "), (52, "abc"), (53, "zzzz  Zq")]
     items += [(60, items[4][1])]
     docs = []
-    for i in range(120):
-        k, passage = rng.choice(items[:6])
+    for i in range(150):
+        k, passage = rng.choice(items[:7])
         m = len(normal(passage))
         docs.append((i, (prose(rng.randint(0, 15)) + " " + edited(rng, passage, rng.randint(0, m // EDITS_IN + 3)) + "\n" + prose(rng.randint(0, 15))).upper()))
     docs += [(None, items[3][1]), (None, None), (500, ""), (501, "x ZZZZ\nzq y"), (502, "a" * 3_000), (502, items[5][1])]

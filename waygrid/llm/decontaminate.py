@@ -4,8 +4,9 @@ Texts are compared lower-cased with each run of white space as one space, as UTF
 passage of m bytes is found where a stretch of a document is within BUDGET(m) = m //
 EDITS_IN edits of it.
 
-* Lemma: one edit destroys at most Q of the passage's q-grams. Of each passage only its
-  rarest Q * BUDGET(m) + spare q-grams are looked up, so `spare` of them survive.
+* Lemma: one edit destroys at most q of the passage's q-grams (q is Q, less for short
+  passages). Of each passage only its rarest q * BUDGET(m) + spare q-grams are looked
+  up, so `spare` of them survive.
 * A match keeps its hits within BUDGET(m) diagonals (document place minus passage
   place), so hits are counted, by distinct passage place, in diagonal bands of twice
   that width that overlap by half. Bands with `spare` hits or more are verified.
@@ -31,11 +32,17 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, session, text_or_empty
 from .winnow import SEGMENT, gram_hashes
 
-Q, EDITS_IN = 10, 16
+Q, EDITS_IN = 8, 10
 BLOCK = 4 << 20
 TABLE = 22
 
 
+def gram_size(m: int) -> int:
+    """The q for a passage of m bytes: Q, or as much less as lets two q-grams or more survive its budget."""
+    budget = m // EDITS_IN
+    return min(Q, (m - 1) // (budget + 1)) if budget else Q
+
+
 def normal(text: str) -> bytes:
     return " ".join(text.replace("\x00", " ").lower().split()).encode()
 
@@ -71,24 +78,31 @@ class Passages:
         self.short = [k for k, t in enumerate(self.texts) if len(t) < Q]
         self.budget = np.array([len(t) // EDITS_IN for t in self.texts], np.int64)
         self.longest = max(map(len, self.texts), default=0)
-        grams = [gram_hashes(np.frombuffer(t, np.uint8), Q) for t in self.texts]
-        every, counts = np.unique(np.concatenate([*grams, np.empty(0, np.uint64)]), return_counts=True)
-        key, item, place = [], [], []
         self.spare = np.zeros(len(items), np.int64)
-        for k, g in enumerate(grams):
-            if len(g):
-                keep = min(len(g), Q * int(self.budget[k]) + max(2, len(self.texts[k]) // 8))
-                rare = np.argsort(counts[np.searchsorted(every, g)], kind="stable")[:keep]
-                self.spare[k] = max(1, keep - Q * self.budget[k])
-                key.append(g[rare])
-                item.append(np.full(keep, k))
-                place.append(rare)
-        key = np.concatenate([*key, np.empty(0, np.uint64)])
+        by: dict[int, list[int]] = {}
+        for k, t in enumerate(self.texts):
+            if len(t) >= Q:
+                by.setdefault(gram_size(len(t)), []).append(k)
+        self.indexes = [self.index(q, some) for q, some in sorted(by.items())]
+
+    def index(self, q: int, some: list[int]) -> tuple:
+        """(q, sorted grams, their first rows, how many rows each, passage and place of each row, table of hash prefixes)."""
+        grams = {k: gram_hashes(np.frombuffer(self.texts[k], np.uint8), q) for k in some}
+        every, counts = np.unique(np.concatenate(list(grams.values())), return_counts=True)
+        key, item, place = [], [], []
+        for k, g in grams.items():
+            keep = min(len(g), q * int(self.budget[k]) + max(2, len(self.texts[k]) // 8))
+            rare = np.argsort(counts[np.searchsorted(every, g)], kind="stable")[:keep]
+            self.spare[k] = keep - q * self.budget[k]
+            key.append(g[rare])
+            item.append(np.full(keep, k))
+            place.append(rare)
+        key = np.concatenate(key)
         order = np.argsort(key, kind="stable")
-        self.item, self.place = (np.concatenate([*x, np.empty(0, np.int64)])[order] for x in (item, place))
-        self.keys, self.first, self.times = np.unique(key[order], return_index=True, return_counts=True)
-        self.table = np.zeros(1 << TABLE, bool)
-        self.table[(self.keys >> np.uint64(64 - TABLE)).astype(np.int64)] = True
+        keys, first, times = np.unique(key[order], return_index=True, return_counts=True)
+        table = np.zeros(1 << TABLE, bool)
+        table[(keys >> np.uint64(64 - TABLE)).astype(np.int64)] = True
+        return q, keys, first, times, np.concatenate(item)[order], np.concatenate(place)[order], table
 
     def search(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
         """Of each text: (number of the passage, first, end, edits), places in the normal form, in bytes."""
@@ -115,16 +129,20 @@ class Passages:
 
     def scan(self, held: list[bytes], owner: list[int], begin: list[int], out: list[dict]) -> None:
         data = np.frombuffer(b"\x00".join(held), np.uint8)
-        if not len(self.keys) or len(data) < Q:
-            return
-        h = gram_hashes(data, Q)
-        at = np.flatnonzero(self.table[(h >> np.uint64(64 - TABLE)).astype(np.int64)])
-        found = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
-        real = self.keys[found] == h[at]
+        for index in self.indexes:
+            if len(data) >= index[0]:
+                self.verify(data, index, held, owner, begin, out)
+
+    def verify(self, data: np.ndarray, index: tuple, held: list[bytes], owner: list[int], begin: list[int], out: list[dict]) -> None:
+        q, known, first, every, items, places, table = index
+        h = gram_hashes(data, q)
+        at = np.flatnonzero(table[(h >> np.uint64(64 - TABLE)).astype(np.int64)])
+        found = np.minimum(np.searchsorted(known, h[at]), len(known) - 1)
+        real = known[found] == h[at]
         at, found = at[real], found[real]
-        times = self.times[found]
-        row = np.repeat(self.first[found] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
-        item, place, at = self.item[row], self.place[row], np.repeat(at, times)
+        times = every[found]
+        row = np.repeat(first[found] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+        item, place, at = items[row], places[row], np.repeat(at, times)
         edges = np.cumsum([0, *[len(p) + 1 for p in held]])
         piece = np.searchsorted(edges, at, "right") - 1
         diagonal = at - edges[piece] - place
