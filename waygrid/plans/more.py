@@ -72,7 +72,7 @@ def net059_one_way(spark, sf_dir):
 @query(
     WAYS
     + f""", d AS (SELECT *, {DIRECTION} AS dir FROM w)
-    SELECT way_id, round(coalesce(msf * 1.609344, ms), 6) AS forward_kph, CAST(ms AS DOUBLE) AS backward_kph,
+    SELECT way_id, round(coalesce(msf * 1.609344e0, CAST(ms AS DOUBLE)), 6) AS forward_kph, CAST(ms AS DOUBLE) AS backward_kph,
       CAST(CASE WHEN lf IS NULL THEN CASE dir WHEN 1 THEN ln WHEN 0 THEN ceil(ln / 2) END ELSE lf END AS INTEGER) AS forward_lanes,
       CAST(CASE WHEN lf IS NULL THEN CASE dir WHEN -1 THEN ln WHEN 0 THEN CASE WHEN ln IS NOT NULL THEN greatest(floor(ln / 2), 1) END END ELSE CASE WHEN ln IS NULL THEN 1 ELSE greatest(ln - lf, 1) END END AS INTEGER) AS backward_lanes FROM d"""
 )
@@ -199,14 +199,14 @@ def net251_congestion(spark, sf_dir):
     return rows.select("run", "seq", F.round(tags.greenshields(F.col("q") / 50), 6).alias("greenshields"), F.round(tags.bpr(F.col("q") / 25), 6).alias("bpr"))
 
 
-@query("SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN p_size * 60 WHEN 1 THEN p_size * 3600 + 90 WHEN 2 THEN 3600 + p_size * 60 END AS s FROM part")
+@query("SELECT p_partkey AS id, CAST(CASE p_partkey % 4 WHEN 0 THEN p_size * 60 WHEN 1 THEN p_size * 3600 + 90 WHEN 2 THEN 3600 + p_size * 60 END AS BIGINT) AS s FROM part")
 def net276_parse_duration(spark, sf_dir):
     k, size = F.col("p_partkey"), F.col("p_size").cast("string")
     text = F.when(k % 4 == 0, size).when(k % 4 == 1, F.concat(size, F.lit(":01:30"))).when(k % 4 == 2, F.concat(F.lit("PT1H"), size, F.lit("M"))).otherwise("soon")
     return table(spark, sf_dir, "part").select(k.alias("id"), parse.duration_s(text).cast("long").alias("s"))
 
 
-@query("SELECT p_partkey AS id, round(CASE p_partkey % 3 WHEN 0 THEN p_size * 1.0 WHEN 1 THEN p_size * 0.3048 + 5 * 0.0254 END, 6) AS metres, round(CASE p_partkey % 3 WHEN 0 THEN p_size * 1.0 WHEN 1 THEN p_size * 0.001 ELSE p_size * 0.00045359237 END, 9) AS tonnes FROM part")
+@query("SELECT p_partkey AS id, round(CASE p_partkey % 3 WHEN 0 THEN p_size * 1e0 WHEN 1 THEN p_size * 0.3048e0 + 5 * 0.0254e0 END, 6) AS metres, round(CASE p_partkey % 3 WHEN 0 THEN p_size * 1e0 WHEN 1 THEN p_size * 0.001e0 ELSE p_size * 0.00045359237e0 END, 9) AS tonnes FROM part")
 def net277_parse_size_and_weight(spark, sf_dir):
     k, size = F.col("p_partkey"), F.col("p_size").cast("string")
     length = F.when(k % 3 == 0, F.concat(size, F.lit(" m"))).when(k % 3 == 1, F.concat(size, F.lit("'5\""))).otherwise("tall")

@@ -104,7 +104,7 @@ HEADING = "((degrees(atan2(radians({b}.lon - {a}.lon) * cos(radians({a}.lat)) *
     t AS (SELECT a.edge_id AS prev_edge, b.edge_id AS next_edge, a.from_node = b.to_node AS back, a.way_id = b.way_id AS same, a.signal AS sig,
            180.0 - ((b.h - a.h + 180.0) % 360.0 + 360.0) % 360.0 AS ang FROM sh a JOIN sh b ON a.to_node = b.from_node),
     c AS (SELECT *, CASE WHEN back THEN 'u_turn' WHEN same THEN 'straight' WHEN abs(ang) <= 30 THEN 'straight' WHEN abs(ang) >= 150 THEN 'u_turn' WHEN ang > 0 THEN 'left' ELSE 'right' END AS turn FROM t)
-    SELECT turn, count(*) AS n, round(sum(CASE turn WHEN 'left' THEN 8.0 WHEN 'right' THEN 3.0 WHEN 'u_turn' THEN 20.0 ELSE 0.0 END + CASE WHEN sig THEN 6.0 ELSE 0.0 END), 3) AS turn_s FROM c GROUP BY turn"""
+    SELECT turn, count(*) AS n, round(sum(CASE turn WHEN 'left' THEN 8e0 WHEN 'right' THEN 3e0 WHEN 'u_turn' THEN 20e0 ELSE 0e0 END + CASE WHEN sig THEN 6e0 ELSE 0e0 END), 3) AS turn_s FROM c GROUP BY turn"""
 )
 def net090_turn_cost(spark, sf_dir):
     e, n = edges(spark, sf_dir), nodes(spark, sf_dir)

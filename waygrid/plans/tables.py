@@ -324,7 +324,7 @@ def net294_tile_projection(spark, sf_dir):
     return nodes(spark, sf_dir).select("node_id", x.alias("x"), y.alias("y"))
 
 
-@query("SELECT p_partkey AS id, round(CASE p_partkey % 4 WHEN 0 THEN p_size * 1.0 WHEN 1 THEN p_size * 1.609344 WHEN 2 THEN p_size * 1.852 END, 6) AS kph FROM part")
+@query("SELECT p_partkey AS id, round(CASE p_partkey % 4 WHEN 0 THEN p_size * 1e0 WHEN 1 THEN p_size * 1.609344e0 WHEN 2 THEN p_size * 1.852e0 END, 6) AS kph FROM part")
 def net275_parse_maxspeed(spark, sf_dir):
     text = F.concat(F.col("p_size").cast("string"), F.element_at(F.array(*map(F.lit, ("", " mph", " knots", " furlongs"))), (F.col("p_partkey") % 4 + 1).cast("int")))
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.round(parse.maxspeed_kph(text), 6).alias("kph"))
