@@ -8,15 +8,16 @@ difference-cover algorithm (names of sampled triples, recursion on the names unt
 they differ, merge of the remaining third, comparison of
 adjacent prefixes).
 
-1. ask: each batch sends every least gram once, with its smallest document; a bucket
-   answers the documents of grams that came from more than one. A gram that a batch
+0. copy: a text that a smaller document has whole is settled by its digest and leaves.
+1. ask: each chunk of texts sends every least gram once, with its smallest document; a bucket
+   answers the documents of grams that came from more than one. A gram that a chunk
    has seen in two documents is answered at once, so a gram in a third of all
-   documents is one record per batch.
+   documents is one record per chunk.
 2. sort: texts meet the answers by chunk (a hash of the id). Runs of windows with a
    repeated least gram go to the gram's bucket as strings, each string once a chunk.
    The bucket builds the suffix array and takes each group of equal windows' smallest
    document.
-3. remove: the same chunks of texts (the same exchange) meet those minima and cut.
+3. remove: the same chunks of texts (from the same exchange) meet those minima and cut.
 
 Nothing is broadcast or collected. A task holds one chunk or one bucket; their
 number follows the input.
@@ -32,16 +33,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, buckets_for, pack, session, stored_bytes, text_or_empty
+from .common import arrow_schema, buckets_for, cut, pack, session, stored_bytes, text_or_empty
 from .winnow import mix, runs, segments
 
 GRAM = 16
-#: Bytes of text that one batch gathers before it sends its grams.
-BATCH = 8 << 20
 ASK = np.dtype([("f", "<u4"), ("g", "u1"), ("d", "<i8")])
 TOLD = np.dtype([("d", "<i8"), ("f", "<u4")])
 MINIMA = np.dtype([("s", "<u8"), ("f", "<u8"), ("a", "<u4"), ("b", "<u4"), ("m", "<i8")])
@@ -76,13 +76,13 @@ def name_triples(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, int]:
     else:
         pair, _ = name_pairs(x[at], x[at + 1])
         return name_pairs(pair, x[at + 2])
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     return ranked(key[order], order)
 
 
 def name_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, int]:
     key = (a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     return ranked(key[order], order)
 
 
@@ -109,14 +109,14 @@ def suffix_order(x: np.ndarray) -> np.ndarray:
         rank = np.empty(len(names), np.int64)
         rank[order] = np.arange(1, len(names) + 1)
     else:
-        order, rank = np.argsort(names, kind="stable"), names
+        order, rank = np.argsort(names), names
     ranks = np.zeros(n + 4, np.int64)
     ranks[at] = rank
     sampled = at[order]
     sampled = sampled[sampled < n]
     zero = np.arange(0, n, 3)
     key = (padded[zero] << 32) | ranks[zero + 1]
-    by = np.argsort(key, kind="stable")
+    by = np.argsort(key)
     zero, key = zero[by], key[by]
     is_one = sampled % 3 == 1
     first, second = sampled[is_one], sampled[~is_one]
@@ -151,7 +151,15 @@ def window_groups(text: np.ndarray, valid: np.ndarray, window: int) -> tuple[np.
     return order, new
 
 
-def ask(docs: DataFrame, window: int, slots: int, chunks: int) -> DataFrame:
+def left_over(texts: pa.Table, gone: pa.Table) -> pa.Table:
+    """The rows of a chunk that aren't settled as copies."""
+    settled = set(zip(gone.column("doc_id").to_pylist(), gone.column("mark").to_pylist(), strict=True))
+    if not settled:
+        return texts
+    return texts.filter(pa.array([k not in settled for k in zip(texts.column("doc_id").to_pylist(), texts.column("mark").to_pylist(), strict=True)], pa.bool_()))
+
+
+def ask(texts: DataFrame, gone: DataFrame, window: int, slots: int, chunks: int) -> DataFrame:
     """(kind, slot, blob): 0, grams to a bucket; 1, (document, gram) known to be repeated, to a chunk."""
     schema = arrow_schema("kind int,slot int,blob binary")
 
@@ -183,20 +191,14 @@ def ask(docs: DataFrame, window: int, slots: int, chunks: int) -> DataFrame:
         told["d"], told["f"] = doc[many], fp[many] & np.uint64(0xFFFFFFFF)
         yield pa.RecordBatch.from_arrays(rows(1, pack(told, chunk_of(told["d"], chunks), chunks)), schema=schema)
 
-    def run(batches):
-        ids, texts, size = [], [], 0
-        for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                if i is not None and len(t) >= window:
-                    ids.append(i)
-                    texts.append(t)
-                    size += len(t)
-                    if size >= BATCH:
-                        yield from send(ids, texts)
-                        ids, texts, size = [], [], 0
-        yield from send(ids, texts)
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows:
+            held = [(i, t) for i, t in zip(*texts_of(left_over(left, right)), strict=True) if i is not None and len(t) >= window]
+            out = list(send([i for i, _ in held], [t for _, t in held]))
+        return pa.Table.from_batches(out, schema)
 
-    return docs.mapInArrow(run, "kind int,slot int,blob binary")
+    return texts.groupBy("chunk").cogroup(gone.groupBy("chunk")).applyInArrow(run, "kind int,slot int,blob binary")
 
 
 def answer(asked: DataFrame, chunks: int, tasks: int) -> DataFrame:
@@ -327,14 +329,16 @@ def minima(sent: DataFrame, window: int, tasks: int) -> DataFrame:
     return sent.repartition(tasks, "slot").groupBy("slot").applyInArrow(run, "chunk int,blob binary")
 
 
-def remove(texts: DataFrame, low: DataFrame, window: int) -> DataFrame:
-    """One row of OUT per text."""
+def remove(texts: DataFrame, low: DataFrame, settled: DataFrame, window: int) -> DataFrame:
+    """One row of OUT per text that isn't settled as a copy."""
     schema = arrow_schema(OUT)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return schema.empty_table()
-        ids, texts = texts_of(left)
+        settled = right.filter(pc.is_null(right.column("blob")))
+        right = right.filter(pc.is_valid(right.column("blob")))
+        ids, texts = texts_of(left_over(left, settled))
         gone: list[list[tuple[int, int]]] = [[] for _ in ids]
         got = np.frombuffer(b"".join(right.column("blob").to_pylist()), MINIMA)
         if len(got):
@@ -371,12 +375,20 @@ def remove(texts: DataFrame, low: DataFrame, window: int) -> DataFrame:
                 elif e > last:
                     last = at = e
             kept.append(text[at:])
-            left_over = b"".join(kept)
-            for c, v in zip(rows, (i, len(text), len(text) - len(left_over), spans, hashlib.sha256(left_over).hexdigest()), strict=True):
+            rest = b"".join(kept)
+            for c, v in zip(rows, (i, len(text), len(text) - len(rest), spans, hashlib.sha256(rest).hexdigest()), strict=True):
                 c.append(v)
         return pa.table([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
 
-    return texts.groupBy("chunk").cogroup(low.groupBy("chunk")).applyInArrow(run, OUT)
+    right = low.unionByName(settled, allowMissingColumns=True)
+    return texts.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(run, OUT)
+
+
+def copies(rows: DataFrame, window: int) -> DataFrame:
+    """Rows whose whole text is also a document with a smaller id's: they lose every byte. A row per input row."""
+    marks = rows.where("doc_id is not null").select("chunk", "doc_id", "mark", F.octet_length("body").cast("long").alias("n_bytes")).where(F.col("n_bytes") >= window)
+    first = marks.groupBy("mark").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("mark", "first")
+    return marks.join(first, "mark").where("doc_id > first")
 
 
 def suffix_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -385,7 +397,11 @@ def suffix_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text
     slots, chunks = buckets_for(2 * size), buckets_for(size) | 1
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = text_or_empty(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body")), "body")
-    told = answer(ask(rows, window, slots, chunks), chunks, tasks)
-    texts = rows.select(chunk_column("doc_id", "body", chunks).alias("chunk"), "doc_id", "body")
-    low = minima(strings(texts, told, window, slots), window, tasks)
-    return remove(texts, low, window)
+    rows = rows.select(chunk_column("doc_id", "body", chunks).alias("chunk"), "doc_id", "body", F.md5(F.col("body").cast("binary")).alias("mark"))
+    gone = cut(copies(rows, window))
+    # one exchange of the texts, by chunk, serves all three meetings
+    settled = gone.select("chunk", "doc_id", "mark").distinct()
+    told = answer(ask(rows, settled, window, slots, chunks), chunks, tasks)
+    low = minima(strings(rows, told, window, slots), window, tasks)
+    whole = gone.select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"))
+    return remove(rows, low, settled, window).unionByName(whole)
