@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from waygrid.llm.graph import components
-from waygrid.llm.jaccard_join import apart, bands, bit_sketch, jaccard_join, limit, signatures
+from waygrid.llm.jaccard_join import apart, bands, bit_sketch, jaccard_join, limit, signatures, sketch_distances, sketch_matrix
 from waygrid.llm.winnow import mix
 
 
@@ -54,6 +54,14 @@ def test_parts_never_miss_a_link():
     assert all(s <= p for p, s in zip(*bands(85)[1:], strict=True))
 
 
+def test_folded_sketches_agree():
+    rng = np.random.default_rng(3)
+    sketches = [bit_sketch(np.unique(mix(rng.integers(0, 1 << 62, n).astype(np.uint64)))) for n in (5, 100, 140, 600, 700, 3000, 9)]
+    bits = sketch_matrix(sketches)
+    for x in range(7):
+        assert sketch_distances(bits, x, np.arange(7)).tolist() == [apart(sketches[x], y) for y in sketches]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (-7, 102), (9, 9)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -78,6 +86,13 @@ def test_brute_force(spark, sf_dir, k, percent):
         rows.append((i, " ".join(chain)))
     rows += [(None, rows[0][1]), (None, None), (1000, None), (1001, ""), (1002, " \n"), (5, rows[9][1]), (5, "one two"), (1003, "ONE two"), (1004, "x " * 5000), (1005, "x " * 5001)]
     rows += [(2000 + i, rows[30][1]) for i in range(50)]
+    # a cloud around one text, near and far from its centre and from one another
+    centre = rng.choices(words, k=60)
+    for i in range(3000, 3150):
+        w = list(centre)
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(len(w))] = rng.choice(words[:3])
+        rows.append((i, " ".join(w)))
     df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, node int")
     assert rows_of(jaccard_join(df, k, percent)) == brute(rows, k, percent)
     assert jaccard_join(df.limit(0)).count() == 0

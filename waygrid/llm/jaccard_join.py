@@ -15,8 +15,11 @@ difference is at most limit(a + b).
   themselves verify the rest.
 * A star may miss links among members that its centre isn't linked to. With d the
   Jaccard distance to the centre, which is exact and a metric, members x and y of a
-  group can link only if |d(x) - d(y)| <= 1 - percent/100; such pairs of different
-  components, one of them not linked to the centre, are verified in a second round.
+  group can link only if |d(x) - d(y)| <= 1 - percent/100. Of such pairs of different
+  components, one of them not linked to the centre, a group offers a spanning forest,
+  nearest sketches first. Where offers fail they are struck out, and those groups alone
+  offer again, more forests at a time, until nothing fails. Classes are then exact, and
+  the first round offers fewer pairs than a group has members.
 * Components of the verified links are the classes.
 
 Pairs are never listed within a class, copies collapse before anything else, and
@@ -120,8 +123,8 @@ def node_of(s: np.ndarray) -> int:
 
 
 def bit_sketch(s: np.ndarray) -> bytes:
-    """Parity of the hashes at each bit: as many bits as the set has elements, a power of two from 256."""
-    bits = max(256, 1 << (len(s) - 1).bit_length())
+    """Parity of the hashes at each bit: at least twice as many bits as the set has elements, a power of two from 256."""
+    bits = max(256, 2 << (len(s) - 1).bit_length())
     return np.packbits((np.bincount((mix(s) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
@@ -310,11 +313,29 @@ def jaccard_join(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str
     placed = placed.select("grp", "node", F.coalesce("label", "node").alias("label"), far.alias("far"), F.col("both").isNull().alias("unknown"))
     open_groups = placed.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count(F.lit(1)) / ROW).alias("blocks")).where("lo <> hi").select("grp", "blocks")
     placed = placed.join(open_groups, "grp").join(nodes.select("node", "size", "sketch"), "node")
-    again = across(cut(placed), percent).distinct()
-    more = cut(compare(cut(near(again, nodes, percent)), nodes, rows, words).where(linked).select("a", "b"))
-    if more.count():
-        links = links.unionByName(more).distinct()
-        label = components(links)
+    placed, failed, forests = cut(placed), None, 1
+    while True:
+        offered = cut(across(placed, failed, percent, forests))
+        pairs = cut(offered.select("a", "b").distinct())
+        if pairs.isEmpty():
+            break
+        got = cut(compare(pairs, nodes, rows, words).withColumn("ok", linked))
+        more = got.where("ok").select("a", "b")
+        links = links.unionByName(more)
+        # what the new links join are components: only their names are worked on
+        name = placed.select("node", "label").distinct()
+        joined = more.join(name.toDF("a", "label_a"), "a").join(name.toDF("b", "label_b"), "b")
+        renamed = components(joined.select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))).toDF("old", "new")
+        rename = lambda df: df.join(renamed, F.col("label") == F.col("old"), "left").withColumn("label", F.coalesce("new", "label")).drop("old", "new")
+        # nodes that were in no link so far have their own name
+        alone = more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(label, "node", "left_anti").select("node", F.col("node").alias("label"))
+        label = cut(rename(label.unionByName(alone)))
+        wrong = cut(offered.join(got.where("not ok").select("a", "b"), ["a", "b"]))
+        if wrong.isEmpty():
+            break
+        # a group whose offers all hold has no more to offer; the others offer more at a time
+        failed = wrong if failed is None else failed.unionByName(wrong)
+        placed, forests = cut(rename(placed.join(wrong.select("grp").distinct(), "grp"))), 4 * forests
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     named = members.join(label, "node", "left").withColumn("label", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "node")))
     first = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
@@ -335,9 +356,10 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     return kept.unionByName(with_mark.join(named(loose), match, "left_semi")).drop("__mark", "__id")
 
 
-def across(placed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a group's members in different components, one of them not linked to
-    the centre, that sizes, distances to the centre and bit sketches allow to link.
+def across(placed: DataFrame, failed: DataFrame | None, percent: int, forests: int) -> DataFrame:
+    """(grp, block, a, b): disjoint spanning forests, over components, of a group's pairs, one of them
+    not linked to the centre, that sizes, distances to the centre and bit sketches allow to link and
+    that haven't failed.
 
     Members are dealt to blocks of about ROW; those not linked go to all blocks of their group.
     """
@@ -347,21 +369,78 @@ def across(placed: DataFrame, percent: int) -> DataFrame:
     all_blocks = F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("block")
     dealt = placed.select(*columns, block, F.lit(False).alias("loose")).unionByName(placed.where(F.col("far") > reach).select(*columns, all_blocks, F.lit(True).alias("loose")))
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(table: pa.Table, struck: pa.Table) -> pa.Table:
+        names = ("grp", "block", "a", "b")
+        if not table.num_rows:
+            return pa.table([pa.array([], pa.int64())] * 4, names=names).cast(pa.schema([("grp", pa.int64()), ("block", pa.int32()), ("a", pa.int64()), ("b", pa.int64())]))
         node, label, far, unknown, size, loose = (table.column(c).to_numpy() for c in ("node", "label", "far", "unknown", "size", "loose"))
-        sketch = table.column("sketch").to_pylist()
-        there, out = np.flatnonzero(~loose), set()
+        no = set(zip(struck.column("a").to_pylist(), struck.column("b").to_pylist(), strict=True))
+        bits = sketch_matrix(table.column("sketch").to_pylist())
+        there, found = np.flatnonzero(~loose), []
         for x in np.flatnonzero(loose).tolist():
             n = int(size[x])
             may = (label[there] != label[x]) & (np.minimum(size[there], n) * 100 >= percent * np.maximum(size[there], n))
             if not unknown[x]:
                 may &= unknown[there] | (np.abs(far[there] - far[x]) <= reach)
-            for y in there[may].tolist():
-                if apart(sketch[x], sketch[y]) <= limit(n + int(size[y]), percent):
-                    out.add((min(int(node[x]), int(node[y])), max(int(node[x]), int(node[y]))))
-        return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
-
-    return dealt.groupBy("grp", "block").applyInArrow(run, "a long,b long")
+            y = there[may]
+            if len(y):
+                off = sketch_distances(bits, x, y)
+                most = np.array([limit(n + int(m), percent) for m in size[y]])
+                found += [(int(d), x, int(z)) for d, z in zip(off[off <= most], y[off <= most], strict=True)]
+        def root(parent: dict[int, int], i: int) -> int:
+            while (p := parent.get(i, i)) != i:
+                parent[i] = parent.get(p, p)
+                i = p
+            return i
+
+        left, out = sorted(found), []
+        for _ in range(forests):
+            parent: dict[int, int] = {}
+            rest = []
+            for d, x, y in left:
+                pair = (min(int(node[x]), int(node[y])), max(int(node[x]), int(node[y])))
+                if pair in no:
+                    continue
+                if (u := root(parent, int(label[x]))) != (v := root(parent, int(label[y]))):
+                    parent[u] = v
+                    out.append(pair)
+                else:
+                    rest.append((d, x, y))
+            if not parent:
+                break
+            left = rest
+        k = len(out)
+        return pa.table([pa.array(table.column("grp")[:1].to_pylist() * k, pa.int64()), pa.array(table.column("block")[:1].to_pylist() * k, pa.int32()), pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=names)
+
+    if failed is None:
+        failed = dealt.sparkSession.createDataFrame([], "grp long,block int,a long,b long")
+    return dealt.groupBy("grp", "block").cogroup(failed.groupBy("grp", "block")).applyInArrow(run, "grp long,block int,a long,b long")
+
+
+def sketch_matrix(sketches: list[bytes]) -> dict[int, np.ndarray]:
+    """At 0 the sketches' lengths; at each length that occurs, all sketches of that length or more, folded to it: [row, word]."""
+    own = np.array([len(s) for s in sketches])
+    out, wide = {0: own}, None
+    for n in sorted(set(own.tolist()), reverse=True):
+        here = np.zeros((len(own), n // 8), np.uint64)
+        if wide is not None:
+            while wide.shape[1] > n // 8:
+                half = wide.shape[1] // 2
+                wide = wide[:, :half] ^ wide[:, half:]
+            here[:] = wide
+        here[own == n] = np.frombuffer(b"".join(s for s in sketches if len(s) == n), np.uint64).reshape(-1, n // 8)
+        out[n] = wide = here
+    return out
+
+
+def sketch_distances(bits: dict[int, np.ndarray], x: int, y: np.ndarray) -> np.ndarray:
+    """Hamming distances of row x to the rows y, each pair at the shorter one's length."""
+    own, out = bits[0], np.zeros(len(y), np.int64)
+    short = np.minimum(own[y], own[x])
+    for n in np.unique(short).tolist():
+        use = short == n
+        out[use] = np.bitwise_count(bits[n][y[use]] ^ bits[n][x]).sum(1)
+    return out
 
 
 def explode_members(raw: DataFrame) -> DataFrame:
