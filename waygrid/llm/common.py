@@ -12,6 +12,7 @@ Three conventions hold in every operator here:
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -41,7 +42,11 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="waygrid-"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    # Spark drops the shuffles of finished phases when the driver's garbage is collected, which may be long after
+    gc.collect()
+    sc._jvm.System.gc()
+    return out
 
 
 def stored_bytes(df: DataFrame) -> int:
