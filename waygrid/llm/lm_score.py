@@ -6,13 +6,15 @@ an arc per kept bigram and a failure arc per state; a failure costs the state's
 backoff weight and leads to the root, which reads every word. The state after a word
 depends on that word alone, so one left-to-right traversal is a shift and a lookup.
 
-Counts cover all training text. A word or bigram is *frequent* if its share of the
-training tokens is over SHARE; at most 1/SHARE can be, at any size of the corpus, and
-only those are collected and broadcast. Bigrams that aren't frequent are left to the
-backoff. All other words' counts stay distributed: each task of the scoring pass asks
-the bucket of a word's hash, and the answers return to that task's documents.
+Counts cover all training text, and every bigram of at least `least` occurrences has an
+arc, at any size of the corpus. Only words and bigrams whose share of the training
+tokens is over SHARE are collected and broadcast, at most 1/SHARE of each, so that no
+bucket meets a very common key. All others stay distributed: a bigram lives in the
+bucket of its context if that is rare, else of its word if that is rare, else of its
+own hash, and each task of the scoring pass asks those buckets for arcs and the bucket
+of each rare word for its count and backoff. The answers return to that task's documents.
 
-Words are counted by 64-bit hashes.
+Words and bigrams are known by 64-bit hashes.
 
 Defined cases: a null text is empty and scores its end token alone; a null id counts
 as the empty string where ids are hashed; rows that repeat are trained on and scored
@@ -28,18 +30,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, buckets_for, cut, pack, session, stored_bytes, text_or_empty
-from .winnow import mix
+from .winnow import join, mix
 from .words import WordHashes
 
 SHARE = 2e-6
 DISCOUNT = 0.75
-END = np.uint64(0x5EED)
+END, START = np.uint64(0x5EED), np.uint64(0x57A7)
 #: Tokens that a batch gathers before it sends counts.
 BATCH = 1 << 21
 COUNT = np.dtype([("h", "<u8"), ("c", "<u4")])
 TOTAL = np.dtype([("h", "<u8"), ("c", "<u8")])
 ASK = np.dtype([("h", "<u8"), ("row", "<u4"), ("n", "<u4")])
-TELL = np.dtype([("row", "<u4"), ("known", "<u4"), ("base", "<f8")])
+TELL = np.dtype([("row", "<u4"), ("known", "<u4"), ("base", "<f8"), ("more", "<f8")])
+GAIN = np.dtype([("row", "<u4"), ("more", "<f8")])
+PAIR = np.dtype([("a", "<u8"), ("w", "<u8"), ("c", "<u4")])
+PAIR_ASK = np.dtype([("h", "<u8"), ("row", "<u4")])
+#: A bigram's arc less what its context, if frequent (number), takes off.
+ARC = np.dtype([("h", "<u8"), ("number", "<i4"), ("gain", "<f8")])
+FAIL = np.dtype([("h", "<u8"), ("fail", "<f8")])
+SUMS = np.dtype([("number", "<u4"), ("held", "<f8"), ("below", "<f8")])
+#: Rows of the model: what the blob holds.
+WORDS, ARCS, FAILS, HOT, PARTS = range(5)
 
 
 def slot_of(h: np.ndarray, n: int) -> np.ndarray:
@@ -67,59 +78,64 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[starts], np.add.reduceat(counts, starts) if len(starts) else counts
 
 
+def pair_hash(a: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return join(mix(a), w)
+
+
+def contexts_of(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The word before each token, START before the first."""
+    out = np.empty(len(h), np.uint64)
+    out[1:] = h[:-1]
+    out[np.r_[0, ends[:-1]]] = START
+    return out
+
+
+def found(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places of h in the sorted keys, -1 for others."""
+    if not len(keys):
+        return np.full(len(h), -1)
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return np.where(keys[at] == h, at, -1)
+
+
 class Automaton:
-    """What is broadcast: frequent words and kept bigrams, at most 1/SHARE of each."""
+    """What is broadcast: frequent words with their backoffs and frequent bigrams, at most 1/SHARE of each."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, types: int, texts: int):
+        self.norm = float(total + types + 1)
+        words, counts = np.append(words, START), np.append(counts, np.uint64(texts))
         order = np.argsort(words)
         self.words, self.counts = words[order], counts[order].astype(np.float64)
-        self.norm = float(total + types + 1)
-        self.start = len(words)  # the context before the first word
-        self.log1 = np.log10((self.counts + 1) / self.norm)
-        self.contexts = np.append(self.counts, texts)
+        self.log1 = self.base(self.counts)
         self.keys, self.arcs = np.empty(0, np.uint64), np.empty(0)
-        self.fail = np.zeros(len(words) + 2)
+        self.fail = self.taken = np.zeros(len(words) + 1)  # at -1 is nothing
+
+    def base(self, counts: np.ndarray) -> np.ndarray:
+        return np.log10((counts + 1) / self.norm)
 
     def numbers(self, h: np.ndarray) -> np.ndarray:
-        """Places in words, -1 for others."""
-        at = np.minimum(np.searchsorted(self.words, h), max(len(self.words) - 1, 0))
-        return np.where(self.words[at] == h, at, -1) if len(self.words) else np.full(len(h), -1)
-
-    def states(self, number: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The state before each token; -1 is the root."""
-        state = np.empty(len(number), np.int64)
-        state[1:] = number[:-1]
-        state[np.r_[0, ends[:-1]]] = self.start
-        return state
-
-    def pairs(self, state: np.ndarray, number: np.ndarray) -> np.ndarray:
-        return state.astype(np.uint64) * np.uint64(self.start + 1) + number.astype(np.uint64)
-
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        order = np.argsort(keys)
-        self.keys, counts = keys[order], counts[order].astype(np.float64)
-        state, word = (self.keys // np.uint64(self.start + 1)).astype(np.int64), (self.keys % np.uint64(self.start + 1)).astype(np.int64)
-        p = (counts - DISCOUNT) / self.contexts[state]
-        held = np.bincount(state, p, self.start + 1)
-        below = np.bincount(state, 10.0 ** self.log1[word], self.start + 1)
-        back = np.log10(np.maximum(1 - held, 1e-12) / np.maximum(1 - below, 1e-12))
-        self.arcs = np.log10(p) - self.log1[word]
-        self.fail = np.append(np.where(held > 0, back, 0.0), 0.0)  # the root's, at -1, is nothing
-
-    def beyond(self, state: np.ndarray, number: np.ndarray) -> np.ndarray:
-        """What the model adds to each token's base score."""
-        out = self.fail[state]
-        if len(self.keys):
-            both = np.flatnonzero((state >= 0) & (number >= 0))
-            key = self.pairs(state[both], number[both])
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[at] == key
-            out[both[hit]] = self.arcs[at[hit]]
-        return out
-
-
-def gathered(rows: DataFrame, slots: int, of) -> DataFrame:
-    """(slot, blob) of COUNT: of() turns the batch's (hashes, ends) into keys to count."""
+        return found(self.words, h)
+
+    def slots(self, a: np.ndarray, w: np.ndarray, key: np.ndarray, slots: int) -> np.ndarray:
+        """The bucket of each bigram: no key that many tokens share decides it."""
+        return slot_of(np.where(self.numbers(a) < 0, a, np.where(self.numbers(w) < 0, w, key)), slots)
+
+    def back_off(self, held: np.ndarray, below: np.ndarray) -> None:
+        """From the frequent contexts' sums over their arcs."""
+        self.fail = np.append(backoff(held, below), 0.0)
+        self.taken = self.fail + np.append(np.log10(np.maximum(self.counts, 1)), 0.0)
+
+    def add(self, arcs: np.ndarray) -> None:
+        arcs = arcs[np.argsort(arcs["h"])]
+        self.keys, self.arcs = arcs["h"].copy(), arcs["gain"] - self.taken[arcs["number"]]
+
+
+def backoff(held: np.ndarray, below: np.ndarray) -> np.ndarray:
+    return np.where(held > 0, np.log10(np.maximum(1 - held, 1e-12) / np.maximum(1 - below, 1e-12)), 0.0)
+
+
+def gathered(rows: DataFrame, slots: int) -> DataFrame:
+    """(slot, blob) of COUNT: the batch's words."""
     schema = arrow_schema("slot int,blob binary")
 
     def run(batches):
@@ -134,7 +150,7 @@ def gathered(rows: DataFrame, slots: int, of) -> DataFrame:
 
         for batch in batches:
             if batch.num_rows:
-                keys = of(*tokens(hashes, batch.column(0).cast(pa.binary()).to_pylist()))
+                keys = tokens(hashes, batch.column(0).cast(pa.binary()).to_pylist())[0]
                 held.append(keys)
                 size += len(keys)
                 if size >= BATCH:
@@ -146,15 +162,159 @@ def gathered(rows: DataFrame, slots: int, of) -> DataFrame:
     return rows.select("body").mapInArrow(run, "slot int,blob binary")
 
 
-def totals(sent: DataFrame, tasks: int, least: float = 0) -> DataFrame:
-    """A row per slot: its number of keys, the sum of their counts, keys and counts (TOTAL); only counts over least."""
+def columns(records: np.ndarray) -> bytes:
+    """The fields one after another, which shuffles compress better than records."""
+    return b"".join(np.ascontiguousarray(records[f]).tobytes() for f in records.dtype.names)
+
+
+def from_columns(blobs: list[bytes], dtype: np.dtype) -> np.ndarray:
+    out, at = np.empty(sum(map(len, blobs)) // dtype.itemsize, dtype), 0
+    for blob in blobs:
+        n, place = len(blob) // dtype.itemsize, 0
+        for f in dtype.names:
+            out[f][at : at + n] = np.frombuffer(blob, dtype[f], n, place)
+            place += n * dtype[f].itemsize
+        at += n
+    return out
+
+
+def bigrams(rows: DataFrame, shared, slots: int) -> DataFrame:
+    """(slot, blob) of PAIR by columns, once per bigram of a batch."""
+    schema = arrow_schema("slot int,blob binary")
+
+    def run(batches):
+        hashes, model, held, size = WordHashes(), shared.value, [], 0
+
+        def send():
+            a, w = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, first, counts = np.unique(pair_hash(a, w), return_index=True, return_counts=True)
+            out = np.empty(len(key), PAIR)
+            out["a"], out["w"], out["c"] = a[first], w[first], counts
+            slot, blob = pack(out, model.slots(out["a"], out["w"], key, slots), slots)
+            return pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array([columns(np.frombuffer(b, PAIR)) for b in blob], pa.binary())], schema=schema)
+
+        for batch in batches:
+            if batch.num_rows:
+                h, ends = tokens(hashes, batch.column(0).cast(pa.binary()).to_pylist())
+                held.append((contexts_of(h, ends), h))
+                size += len(h)
+                if size >= BATCH:
+                    yield send()
+                    held, size = [], 0
+        if held:
+            yield send()
+
+    return rows.select("body").mapInArrow(run, "slot int,blob binary")
+
+
+def pair_totals(sent: DataFrame, tasks: int, least: int) -> DataFrame:
+    """(slot, blob) of the bigrams of at least least occurrences, PAIR."""
+
+    def run(table: pa.Table) -> pa.Table:
+        got = from_columns(table.column("blob").to_pylist(), PAIR)
+        key = pair_hash(got["a"], got["w"])
+        order = np.argsort(key, kind="stable")
+        key, got = key[order], got[order]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        out = got[starts]
+        out["c"] = np.add.reduceat(got["c"], starts)
+        return pa.table({"slot": table.column("slot")[:1].cast(pa.int32()), "blob": pa.array([out[out["c"] >= least].tobytes()], pa.binary())})
+
+    return sent.repartition(tasks, "slot").groupBy("slot").applyInArrow(run, "slot int,blob binary")
+
+
+def rare_words(pairs: DataFrame, counted: DataFrame, shared, slots: int) -> DataFrame:
+    """(slot, kind, blob): for each bucket of bigrams, the counts of the rare words that stand behind rare contexts."""
+
+    def ask(batches):
+        model = shared.value
+        for batch in batches:
+            for back, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                got = np.frombuffer(blob, PAIR)
+                w = np.unique(got["w"][(model.numbers(got["a"]) < 0) & (model.numbers(got["w"]) < 0)])
+                slot, parts = pack(w, slot_of(w, slots), slots)
+                yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array([back] * len(slot), pa.int32()), pa.array(parts, pa.binary())], names=["slot", "back", "blob"])
+
+    def tell(left: pa.Table, right: pa.Table) -> pa.Table:
+        have, out = np.frombuffer(b"".join(right.column("blob").to_pylist()), TOTAL), []
+        for blob in left.column("blob").to_pylist():
+            out.append(have[found(have["h"], np.frombuffer(blob, "<u8"))].tobytes())
+        return pa.table({"slot": left.column("back").cast(pa.int32()), "blob": pa.array(out, pa.binary())})
+
+    asked = pairs.mapInArrow(ask, "slot int,back int,blob binary")
+    return asked.groupBy("slot").cogroup(counted.select("slot", "blob").groupBy("slot")).applyInArrow(tell, "slot int,blob binary")
+
+
+def arcs_of(pairs: DataFrame, counts: DataFrame, shared, hot: float) -> DataFrame:
+    """(slot, what, blob): ARCS, the backoffs of rare contexts (FAILS), frequent bigrams (HOT) and the sums of frequent contexts (PARTS)."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        model, out = shared.value, []
+        got = np.frombuffer(b"".join(left.column("blob").to_pylist()), PAIR)
+        have = np.frombuffer(b"".join(right.column("blob").to_pylist()), TOTAL)
+        have = have[np.argsort(have["h"], kind="stable")]
+        if len(got):
+            a, w = model.numbers(got["a"]), model.numbers(got["w"])
+
+            def count(number, h):
+                return np.where(number >= 0, model.counts[number], have["c"][found(have["h"], h)] if len(have) else 0)
+
+            context, c = count(a, got["a"]), got["c"] - DISCOUNT
+            log1 = model.base(count(w, got["w"]))
+            arc = np.empty(len(got), ARC)
+            arc["h"], arc["number"], arc["gain"] = pair_hash(got["a"], got["w"]), a, np.log10(c) - log1
+            rare = a < 0
+            if rare.any():
+                h, which = np.unique(got["a"][rare], return_inverse=True)
+                fail = np.empty(len(h), FAIL)
+                fail["h"], fail["fail"] = h, backoff(np.bincount(which, c[rare] / context[rare]), np.bincount(which, 10.0 ** log1[rare]))
+                arc["gain"][rare] -= np.log10(context[rare]) + fail["fail"][which]
+                out.append((FAILS, fail))
+            if not rare.all():
+                number, which = np.unique(a[~rare], return_inverse=True)
+                part = np.empty(len(number), SUMS)
+                part["number"], part["held"], part["below"] = number, np.bincount(which, c[~rare] / context[~rare]), np.bincount(which, 10.0 ** log1[~rare])
+                out.append((PARTS, part))
+            often = got["c"] > hot
+            out += [(ARCS, np.sort(arc[~often], order="h")), (HOT, arc[often])]
+        slot = left.column("slot")[0].as_py() if left.num_rows else 0
+        return pa.table({"slot": pa.array([slot] * len(out), pa.int32()), "what": pa.array([k for k, _ in out], pa.int32()), "blob": pa.array([x.tobytes() for _, x in out], pa.binary())})
+
+    return pairs.groupBy("slot").cogroup(counts.groupBy("slot")).applyInArrow(run, "slot int,what int,blob binary")
+
+
+def frequent_sums(model_rows: DataFrame, size: int, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of the frequent contexts by number, on the driver."""
+
+    def deal(batches):
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                got = np.frombuffer(blob, SUMS)
+                slot, parts = pack(got, got["number"].astype(np.int64) % slots, slots)
+                yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(parts, pa.binary())], names=["slot", "blob"])
+
+    def add(table: pa.Table) -> pa.Table:
+        got = np.frombuffer(b"".join(table.column("blob").to_pylist()), SUMS)
+        number, which = np.unique(got["number"], return_inverse=True)
+        out = np.empty(len(number), SUMS)
+        out["number"], out["held"], out["below"] = number, np.bincount(which, got["held"]), np.bincount(which, got["below"])
+        return pa.table({"blob": pa.array([out.tobytes()], pa.binary())})
+
+    sent = model_rows.where(F.col("what") == PARTS).select("blob").mapInArrow(deal, "slot int,blob binary")
+    got = np.frombuffer(b"".join(r.blob for r in sent.groupBy("slot").applyInArrow(add, "blob binary").collect()), SUMS)
+    held, below = np.zeros(size), np.zeros(size)
+    held[got["number"]], below[got["number"]] = got["held"], got["below"]
+    return held, below
+
+
+def totals(sent: DataFrame, tasks: int) -> DataFrame:
+    """A row per slot: its number of keys, the sum of their counts, keys and counts (TOTAL)."""
 
     def run(table: pa.Table) -> pa.Table:
         got = np.frombuffer(b"".join(table.column("blob").to_pylist()), COUNT)
         keys, counts = summed(got["h"], got["c"].astype(np.uint64))
-        keep = counts > least
-        out = np.empty(int(keep.sum()), TOTAL)
-        out["h"], out["c"] = keys[keep], counts[keep]
+        out = np.empty(len(keys), TOTAL)
+        out["h"], out["c"] = keys, counts
         return pa.table({"slot": table.column("slot")[:1], "types": pa.array([len(keys)], pa.int64()), "total": pa.array([int(counts.sum())], pa.int64()), "blob": pa.array([out.tobytes()], pa.binary())})
 
     return sent.repartition(tasks, "slot").groupBy("slot").applyInArrow(run, "slot int,types long,total long,blob binary")
@@ -177,12 +337,12 @@ ROWS = "kind int,slot int,chunk int,doc_id long,held_out boolean,n_tokens long,k
 
 
 def scored(rows: DataFrame, shared, slots: int) -> DataFrame:
-    """Kind 1, a text with the sums over its frequent words, in row order by chunk; 0, its other words, to their bucket."""
+    """Kind 1, a text with the sums over its frequent words and bigrams, in row order by chunk; 0, its other words, and 2, its other bigrams, to their bucket."""
     schema = arrow_schema(ROWS)
 
     def run(batches):
         hashes, model, chunk = WordHashes(), shared.value, TaskContext.get().partitionId()
-        row, asked, held = 0, [], 0
+        row, asked, held, wanted, waiting = 0, [], 0, [], 0
 
         def table(kind, n, **columns):
             return pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [kind if f.name == "kind" else chunk if f.name == "chunk" else None] * n), f.type) for f in schema], schema=schema)
@@ -192,6 +352,11 @@ def scored(rows: DataFrame, shared, slots: int) -> DataFrame:
             slot, blob = pack(got, slot_of(got["h"], slots), slots)
             return table(0, len(slot), slot=slot, blob=blob)
 
+        def send_pairs():
+            got, where = (np.concatenate(x) for x in zip(*wanted, strict=True))
+            slot, blob = pack(got, where, slots)
+            return table(2, len(slot), slot=slot, blob=[columns(np.frombuffer(b, PAIR_ASK)) for b in blob])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -201,7 +366,21 @@ def scored(rows: DataFrame, shared, slots: int) -> DataFrame:
             doc = np.repeat(np.arange(n), np.diff(np.r_[0, ends]))
             has = number >= 0
             base = np.bincount(doc[has], model.log1[number[has]], n) if has.any() else np.zeros(n)
-            beyond = np.bincount(doc, model.beyond(model.states(number, ends), number), n)
+            context = contexts_of(h, ends)
+            key = pair_hash(context, h)
+            at = found(model.keys, key)
+            gain = model.fail[model.numbers(context)]
+            gain[at >= 0] += model.arcs[at[at >= 0]]
+            beyond = np.bincount(doc, gain, n)
+            other = np.flatnonzero(at < 0)
+            if len(other):
+                out = np.empty(len(other), PAIR_ASK)
+                out["h"], out["row"] = key[other], row + doc[other]
+                wanted.append((out, model.slots(context[other], h[other], key[other], slots)))
+                waiting += len(out)
+                if waiting >= BATCH // 2:
+                    yield send_pairs()
+                    wanted, waiting = [], 0
             yield table(1, n, slot=[(chunk * 31 + row // 4096) % slots] * n, doc_id=batch.column(0), held_out=batch.column(1), n_tokens=np.diff(np.r_[0, ends]), known=np.bincount(doc[has], minlength=n), base=base, score=beyond, blob=[(row + i).to_bytes(4, "little") for i in range(n)])
             rare = np.flatnonzero(~has)
             if len(rare):
@@ -219,37 +398,53 @@ def scored(rows: DataFrame, shared, slots: int) -> DataFrame:
             row += n
         if held:
             yield send()
+        if waiting:
+            yield send_pairs()
 
     return rows.select("doc_id", "held_out", "body").mapInArrow(run, ROWS)
 
 
-def answered(sent: DataFrame, counted: DataFrame, norm: float) -> DataFrame:
-    """The texts' rows, and the sums over their other words by chunk."""
+def answered(sent: DataFrame, have: DataFrame, shared) -> DataFrame:
+    """The texts' rows, and the sums over their other words (kind 0) and bigrams (2) by chunk."""
     schema = arrow_schema(ROWS)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or left.column("kind")[0].as_py():
+        kind = left.column("kind")[0].as_py() if left.num_rows else 1
+        if kind == 1:
             return left.select([f.name for f in schema])
-        have = np.frombuffer(b"".join(right.column("blob").to_pylist()), TOTAL)
-        chunks = left.column("chunk").to_numpy()
+        model, what, held = shared.value, right.column("what").to_pylist(), right.column("blob").to_pylist()
+        of = lambda k, dtype: np.sort(np.frombuffer(b"".join([b for b, w in zip(held, what, strict=True) if w == k]), dtype), order="h")
+        words, fails, arcs = of(WORDS, TOTAL), of(FAILS, FAIL), of(ARCS, ARC)
+        gains = arcs["gain"] - model.taken[arcs["number"]]
+
+        def sums(blobs):
+            if kind == 2:
+                got = from_columns(blobs, PAIR_ASK)
+                at = found(arcs["h"], got["h"])
+                hit = at >= 0
+                row, which = np.unique(got["row"][hit], return_inverse=True)
+                out = np.empty(len(row), GAIN)
+                out["row"], out["more"] = row, np.bincount(which, gains[at[hit]], len(row))
+                return out
+            got = np.frombuffer(b"".join(blobs), ASK)
+            at, back = found(words["h"], got["h"]), found(fails["h"], got["h"])
+            c, fail = np.zeros(len(got)), np.zeros(len(got))
+            c[at >= 0], fail[back >= 0] = words["c"][at[at >= 0]], fails["fail"][back[back >= 0]]
+            row, which = np.unique(got["row"], return_inverse=True)
+            out = np.empty(len(row), TELL)
+            out["row"], out["known"], out["base"], out["more"] = row, np.bincount(which, got["n"] * (c > 0)), np.bincount(which, got["n"] * model.base(c)), np.bincount(which, got["n"] * fail)
+            return out
+
+        chunks, blobs = left.column("chunk").to_numpy(), left.column("blob").to_pylist()
         out_chunk, out_blob = [], []
-        blobs = left.column("blob").to_pylist()
         order = np.argsort(chunks, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(chunks[order])) + 1):
-            got = np.frombuffer(b"".join([blobs[i] for i in part]), ASK)
-            c = np.zeros(len(got))
-            if len(have):
-                at = np.minimum(np.searchsorted(have["h"], got["h"]), len(have) - 1)
-                c = np.where(have["h"][at] == got["h"], have["c"][at], 0)
-            row, which = np.unique(got["row"], return_inverse=True)
-            out = np.empty(len(row), TELL)
-            out["row"], out["known"], out["base"] = row, np.bincount(which, got["n"] * (c > 0)), np.bincount(which, got["n"] * np.log10((c + 1) / norm))
             out_chunk.append(int(chunks[part[0]]))
-            out_blob.append(out.tobytes())
+            out_blob.append(columns(sums([blobs[i] for i in part])))
         n = len(out_chunk)
-        return pa.table([pa.array({"kind": [0] * n, "chunk": out_chunk, "blob": out_blob}.get(f.name, [None] * n), f.type) for f in schema], schema=schema)
+        return pa.table([pa.array({"kind": [kind] * n, "chunk": out_chunk, "blob": out_blob}.get(f.name, [None] * n), f.type) for f in schema], schema=schema)
 
-    return sent.groupBy("kind", "slot").cogroup(counted.select(F.lit(0).alias("kind"), "slot", "blob").groupBy("kind", "slot")).applyInArrow(run, ROWS)
+    return sent.groupBy("kind", "slot").cogroup(have.groupBy("kind", "slot")).applyInArrow(run, ROWS)
 
 
 OUT = "doc_id long,held_out boolean,n_tokens long,n_known long,train_tokens long,base_score double,score double"
@@ -261,14 +456,15 @@ def put_together(rows: DataFrame, total: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         import pyarrow.compute as pc
 
-        texts, told = table.filter(pc.equal(table["kind"], 1)), table.filter(pc.equal(table["kind"], 0))
+        texts, told, gained = (table.filter(pc.equal(table["kind"], k)) for k in (1, 0, 2))
         n = texts.num_rows
         row = np.frombuffer(b"".join(texts["blob"].to_pylist()), "<u4").astype(np.int64)
-        got = np.frombuffer(b"".join(told["blob"].to_pylist()), TELL)
+        got, more = from_columns(told["blob"].to_pylist(), TELL), from_columns(gained["blob"].to_pylist(), GAIN)
         size = int(row.max(initial=-1)) + 1
         known = texts["known"].to_numpy() + np.bincount(got["row"], got["known"], size)[row].astype(np.int64)
         base = texts["base"].to_numpy() + np.bincount(got["row"], got["base"], size)[row]
-        return pa.table([texts["doc_id"], texts["held_out"], texts["n_tokens"], pa.array(known, pa.int64()), pa.array(np.full(n, total), pa.int64()), pa.array(base), pa.array(base + texts["score"].to_numpy())], schema=schema)
+        beyond = texts["score"].to_numpy() + (np.bincount(got["row"], got["more"], size) + np.bincount(more["row"], more["more"], size))[row]
+        return pa.table([texts["doc_id"], texts["held_out"], texts["n_tokens"], pa.array(known, pa.int64()), pa.array(np.full(n, total), pa.int64()), pa.array(base), pa.array(base + beyond)], schema=schema)
 
     return rows.groupBy("chunk").applyInArrow(run, OUT)
 
@@ -277,26 +473,24 @@ def held_out_by_id(id_col: str, modulus: int, rest: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus == rest
 
 
-def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row; the model learns from rows where held_out is false."""
+def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", least: int = 2) -> DataFrame:
+    """One row per input row; the model learns from rows where held_out is false and keeps bigrams of at least least occurrences."""
     spark = session(docs)
     tasks, slots = int(spark.conf.get("spark.sql.shuffle.partitions")), buckets_for(stored_bytes(docs))
     rows = text_or_empty(docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("body")), "body")
     train = rows.where(~F.col("held_out"))
-    counted = cut(totals(gathered(train, slots, lambda h, ends: h), tasks))
+    counted = cut(totals(gathered(train, slots), tasks))
     total, types = counted.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     words, counts = frequent(counted, SHARE * total)
-    texts = int(counts[words == END].sum())
-    model = Automaton(words, counts, total, types, texts)
+    model = Automaton(words, counts, total, types, int(counts[words == END].sum()))
     shared = spark.sparkContext.broadcast(model)
-
-    def bigrams(h, ends):
-        m = shared.value
-        number = m.numbers(h)
-        state = m.states(number, ends)
-        both = (state >= 0) & (number >= 0)
-        return m.pairs(state[both], number[both])
-
-    model.add(*frequent(totals(gathered(train, slots, bigrams), tasks, max(1, SHARE * total)), 0))
+    pairs = cut(pair_totals(bigrams(train, shared, slots), tasks, least))
+    known = counted.select("slot", "blob").unionByName(rare_words(pairs, counted, shared, slots))
+    learnt = cut(arcs_of(pairs, known, shared, SHARE * total))
+    model.back_off(*frequent_sums(learnt, len(model.words), slots))
+    model.add(np.frombuffer(b"".join(r.blob for r in learnt.where(F.col("what") == HOT).select("blob").collect()), ARC))
     whole = spark.sparkContext.broadcast(model)
-    return put_together(answered(scored(rows, whole, slots), counted, model.norm), total)
+    have = counted.select(F.lit(0).alias("kind"), "slot", F.lit(WORDS).alias("what"), "blob").unionByName(
+        learnt.where(F.col("what").isin(ARCS, FAILS)).select(F.when(F.col("what") == ARCS, 2).otherwise(0).alias("kind"), "slot", "what", "blob")
+    )
+    return put_together(answered(scored(rows, whole, slots), have, whole), total)

@@ -62,7 +62,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score(table(spark, sf_dir, "documents"), held_out_by_id("doc_id", 7, 2))
+    return lm_score(table(spark, sf_dir, "documents"), held_out_by_id("doc_id", 7, 2), least=1)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
