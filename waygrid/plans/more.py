@@ -168,7 +168,7 @@ def net133_batch_tallies(spark, sf_dir):
 
 @query()
 def net192_alternatives(spark, sf_dir):
-    return search.alternatives(arcs(spark, sf_dir), pairs(spark, sf_dir, 400)).withColumn("cost", F.round("cost", 5))
+    return search.alternatives(arcs(spark, sf_dir), pairs(spark, sf_dir, 1)).withColumn("cost", F.round("cost", 5))
 
 
 @query()
