@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from waygrid.llm.graph import components
-from waygrid.llm.jaccard_join import apart, bands, bit_sketch, jaccard_join, limit, signatures, sketch_distances, sketch_matrix
+from waygrid.llm.jaccard_join import apart, bands, bit_sketch, jaccard_join, limit, one_of_each, signatures, sketch_distances, sketch_matrix
 from waygrid.llm.winnow import mix
 
 
@@ -14,7 +14,7 @@ def brute(rows, k, percent):
     for _, t in rows:
         w = [x for x in re.split("[\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if x]
         sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
-    parent = list(range(len(rows)))
+    parent, links = list(range(len(rows))), [set() for _ in rows]
 
     def find(i):
         while parent[i] != i:
@@ -27,15 +27,18 @@ def brute(rows, k, percent):
                 n = len(sets[i] & sets[j])
                 if 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n):
                     parent[find(i)] = find(j)
+                    if sets[i] != sets[j]:
+                        links[i].add(frozenset(sets[j]))
+                        links[j].add(frozenset(sets[i]))
     least = {}
     for i, (d, _) in enumerate(rows):
         if d is not None:
             least[find(i)] = min(least.get(find(i), d), d)
-    return sorted((str(d), len(sets[i]), str(least.get(find(i)))) for i, (d, _) in enumerate(rows))
+    return sorted((str(d), len(sets[i]), str(least.get(find(i))), len(links[i])) for i, (d, _) in enumerate(rows))
 
 
 def rows_of(df):
-    return sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in df.collect())
+    return sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.n_links) for r in df.collect())
 
 
 def test_parts_never_miss_a_link():
@@ -68,8 +71,10 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {100: -7, 101: -7, 102: -7, -7: -7}
 
 
-@pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80)])
-def test_brute_force(spark, sf_dir, k, percent):
+@pytest.mark.parametrize(("k", "percent", "row"), [(4, 85, 4096), (4, 85, 20), (5, 80, 50)])
+def test_brute_force(spark, sf_dir, monkeypatch, k, percent, row):
+    """With row at 20 and 50 the larger neighbourhoods are dealt to many blocks."""
+    monkeypatch.setattr("waygrid.llm.jaccard_join.ROW", row)
     rng = random.Random(k)
     words = ["".join(rng.choices("abcde", k=rng.randint(1, 6))) for _ in range(400)]
     base = [rng.choices(words, k=n) for n in (1, 2, 4, 5, 8, 9, 30, 60, 120, 120)]
@@ -94,7 +99,23 @@ def test_brute_force(spark, sf_dir, k, percent):
             w[rng.randrange(len(w))] = rng.choice(words[:3])
         rows.append((i, " ".join(w)))
     df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, node int")
-    assert rows_of(jaccard_join(df, k, percent)) == brute(rows, k, percent)
+    want = brute(rows, k, percent)
+    assert rows_of(jaccard_join(df, k, percent)) == want
+    if row != 20:
+        assert [r[:3] for r in rows_of(jaccard_join(df, k, percent, count=False))] == [r[:3] for r in want]
     assert jaccard_join(df.limit(0)).count() == 0
+    if row < 4096:
+        return
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert rows_of(jaccard_join(docs, k, percent)) == brute([(r.doc_id, r.text) for r in docs.collect()], k, percent)
+
+
+def test_one_of_each_keeps_odd_columns(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text, "a", 1, 2), (2, text, "b", 3, 4), (None, text, "c", 5, 6), (3, None, "d", 7, 8), (4, "", "e", 9, 0), (1, text, "f", 1, 1), (9, "other words stand here alone today", "g", 0, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string, mark_ int, __mark int")
+    got = one_of_each(df)
+    assert got.columns == df.columns
+    kept = sorted((str(r[0]), r[1]) for r in got.collect())
+    assert kept == sorted([("1", text), ("None", text), ("3", None), ("4", ""), ("9", rows[6][1])], key=lambda r: r[0])
+    assert one_of_each(df.limit(0)).count() == 0

@@ -10,24 +10,25 @@ difference is at most limit(a + b).
   limit(2 U) + 1 parts and some to spare, so that linked sets agree in more parts
   than those that a set leaves empty. Agreement in a part that isn't empty makes a
   group; the few sets with more empty parts than spared also send those.
-* Each group sends its members to its smallest node only (a star). A bit sketch of
-  the size of the set drops pairs whose Hamming distance exceeds the limit; the sets
-  themselves verify the rest.
-* A star may miss links among members that its centre isn't linked to. With d the
-  Jaccard distance to the centre, which is exact and a metric, members x and y of a
-  group can link only if |d(x) - d(y)| <= 1 - percent/100. Of such pairs of different
-  components, one of them not linked to the centre, a group offers a spanning forest,
-  nearest sketches first. Where offers fail they are struck out, and those groups alone
-  offer again, more forests at a time, until nothing fails. Classes are then exact, and
-  the first round offers fewer pairs than a group has members.
+* A group's smallest node is its centre. The members of all groups of one centre, each
+  once, are a neighbourhood: two linked sets share a group, so they share a neighbourhood,
+  and groups that overlap (as those of a cloud of near copies do) cost a node one row.
+* A first pass over each neighbourhood compares bit sketches, whose Hamming distance is a
+  lower bound of the symmetric difference: it keeps the members that may link with the
+  centre, and those that may link with another member. Only their sets are fetched.
+* A second pass holds the sets of a neighbourhood and verifies exactly: the centre
+  against all, then what is left unlinked against members of other classes; where links
+  are counted, every pair once, in the neighbourhood of the smallest centre that both have.
+  It returns spanning links and counts, never all pairs.
 * Components of the verified links are the classes.
 
-Pairs are never listed within a class, copies collapse before anything else, and
-each batch sends a (part, node) once. Nothing is broadcast but a bitmap of fixed size that
-spares sending the sets of documents in no pair.
+A neighbourhood beyond ROW members or ELEMENTS shingles is dealt to blocks, and the centre
+goes to each. Members that are not linked with it in their block then visit the other
+blocks (all members visit the later blocks where links are counted), so a pass over a
+neighbourhood of n members of which u aren't linked with the centre takes n + u * n / ROW
+rows. Copies collapse before anything else, and each batch sends a (part, node) once.
 
-Hashes have 64 bits (40 in verification); two different shingles of a pair that
-collide there would be counted as one.
+Hashes have 64 bits; two different shingles of a pair that collide would be counted as one.
 
 Defined cases: a null or blank text has no shingles and links with nothing; a null
 id links with nothing and has no component; rows that repeat an id or text are
@@ -37,11 +38,11 @@ nodes like others; every input row gives one row.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,8 +54,10 @@ from .words import WordHashes, shingles
 SIG = np.dtype([("s", "<u4"), ("t", "<u2"), ("n", "<i8")])
 #: Sizes of one band: from x up to RATIO * x.
 RATIO = 1.5
-#: Signatures that a batch gathers before it sends them, and members in one row of a group.
-BATCH, ROW = 1 << 20, 4096
+#: Signatures that a batch gathers before it sends them.
+BATCH = 1 << 20
+#: Members and shingles of a block of a neighbourhood.
+ROW, ELEMENTS = 4096, 1 << 20
 ROWS = "kind int,a long,b long,mark long,size int,blob binary"
 
 
@@ -184,7 +187,7 @@ def describe(rows: DataFrame, words: int, percent: int, slots: int) -> DataFrame
 
 
 def group(described: DataFrame, tasks: int, slots: int) -> DataFrame:
-    """Kind 1 as it is; 0, a pair to verify: centre, member; 2, members (blob) of group a with centre b. Groups of the same members have the same name."""
+    """Kind 1 as it is; 0, a centre and a member."""
     schema = arrow_schema(ROWS)
 
     def run(table: pa.Table) -> pa.Table:
@@ -204,59 +207,115 @@ def group(described: DataFrame, tasks: int, slots: int) -> DataFrame:
         centre = np.repeat(node[starts], sizes)
         member = node != centre
         pairs = np.unique(np.stack([centre[member], node[member]], 1), axis=0) if member.any() else np.empty((0, 2), np.int64)
-        seen, a, b, blob = set(), [], [], []
-        for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            whole = node[s : s + n].tobytes()
-            if (mark := xxhash.xxh64_intdigest(whole) >> 1) not in seen:
-                seen.add(mark)
-                for at in range(0, n, ROW):
-                    a.append(mark)
-                    b.append(int(node[s]))
-                    blob.append(whole[8 * at : 8 * (at + ROW)])
-        k, g = len(pairs), len(a)
-        return pa.table(
-            [pa.array([0] * k + [2] * g, pa.int32()), pa.array([*pairs[:, 0].tolist(), *a], pa.int64()), pa.array([*pairs[:, 1].tolist(), *b], pa.int64()), pa.array([0] * (k + g), pa.int64()), pa.array([0] * (k + g), pa.int32()), pa.array([None] * k + blob, pa.binary())],
-            schema=schema,
-        )
+        k = len(pairs)
+        return pa.table([pa.array([0] * k, pa.int32()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array([0] * k, pa.int64()), pa.array([0] * k, pa.int32()), pa.array([None] * k, pa.binary())], schema=schema)
 
     # documents go by their id, so that they spread
     spread = F.when(F.col("kind") == 0, F.col("a")).otherwise(F.pmod(F.coalesce("a", F.xxhash64("blob")), F.lit(slots)))
     return described.withColumn("slot", spread).repartition(tasks, "kind", "slot").groupBy("kind", "slot").applyInArrow(run, ROWS)
 
 
-def near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sizes and bit sketches allow a link, each once."""
-    a, b = (nodes.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
-    rows = pairs.select("a", "b").distinct().join(a, "a").join(b, "b").where(F.least("size_a", "size_b") * 100 >= percent * F.greatest("size_a", "size_b"))
+def dealt(around: DataFrame) -> DataFrame:
+    """around (c, node, size and more; centres aren't rows of their own yet) with the block of each member and the number of blocks."""
+    sums = around.groupBy("c").agg(F.ceil(F.greatest(F.count(F.lit(1)) / ROW, F.sum("size") / ELEMENTS)).cast("int").alias("blocks"))
+    # one row for each ROW members or ELEMENTS shingles at most
+    many = sums.where("blocks > 1")
+    return around.join(many, "c", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
-    def run(batches):
-        for batch in batches:
-            keep = [apart(x, y) <= limit(n + m, percent) for x, y, n, m in zip(*(batch.column(c).to_pylist() for c in ("sketch_a", "sketch_b", "size_a", "size_b")), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return rows.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(run, "a long,b long")
 
+def centres(placed: DataFrame) -> DataFrame:
+    """(c, node, blk, blocks): the centre in each of its blocks."""
+    return placed.select("c", F.col("c").alias("node"), "blk", "blocks").distinct()
 
-def wide(items: bytes) -> np.ndarray:
-    """Numbers of five bytes each."""
-    five = np.frombuffer(items, np.uint8).reshape(-1, 5)
-    out = np.zeros((len(five), 8), np.uint8)
-    out[:, :5] = five
-    return out.view(np.uint64)[:, 0]
-
-
-#: Bits of the bitmap of documents that occur in pairs.
-BITMAP = 1 << 22
 
+def neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each (c, blk) of batches sorted by them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        c, blk = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        starts = [0, *(np.flatnonzero((c[1:] != c[:-1]) | (blk[1:] != blk[:-1])) + 1).tolist(), len(c)]
+        if held and (held[-1].column(0)[0].as_py() != c[0] or held[-1].column(1)[0].as_py() != blk[0]):
+            yield pa.Table.from_batches(held)
+            held = []
+        for at, end in zip(starts, starts[1:], strict=False):
+            if at:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(at, end - at))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def each(rows: DataFrame, tasks: int, step: Callable[[pa.Table], list], ddl: str) -> DataFrame:
+    """step's columns for each (c, blk) of rows, whose first two columns these are."""
+    schema = arrow_schema(ddl)
 
-def compare(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int) -> DataFrame:
-    """pairs (a, b) with the exact sizes of intersection and union: (a, b, both, any)."""
+    def run(batches):
+        for table in neighbourhoods(batches):
+            out = step(table)
+            if len(out[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
+
+    return rows.repartition(tasks, "c", "blk").sortWithinPartitions("c", "blk").mapInArrow(run, ddl)
+
+
+def near(pairs: DataFrame, nodes: DataFrame, percent: int, tasks: int) -> DataFrame:
+    """(c, node, size): the members that bit sketches allow to link within the neighbourhood of c."""
+    sketched = nodes.select("node", "size", "sketch")
+    placed = cut(dealt(pairs.join(sketched.select("node", "size"), "node")).select("c", "blk", "node", "blocks"))
+    rows = lambda df, guest: df.join(sketched, "node").select("c", "blk", "node", "blocks", "size", "sketch", F.lit(guest).alias("guest"))
+
+    def fits(sizes: np.ndarray, n: int) -> np.ndarray:
+        return np.minimum(sizes, n) * 100 >= percent * np.maximum(sizes, n)
+
+    def close(bits: dict, sizes: np.ndarray, x: int, others: np.ndarray) -> np.ndarray:
+        """Which of the rows others may link with row x."""
+        n = int(sizes[x])
+        others = others[fits(sizes[others], n)]
+        if not len(others):
+            return others
+        most = np.array([limit(n + m, percent) for m in range(int(sizes[others].min()), int(sizes[others].max()) + 1)])
+        return others[sketch_distances(bits, x, others) <= most[sizes[others] - int(sizes[others].min())]]
+
+    def first(table: pa.Table) -> list:
+        c, blk, node, blocks, sizes = (table.column(i).to_numpy() for i in range(5))
+        bits = sketch_matrix(table.column(5).to_pylist())
+        member = np.flatnonzero(node != c)
+        ok = np.zeros(len(node), bool)
+        ok[close(bits, sizes, int(np.flatnonzero(node == c)[0]), member)] = True
+        keep = ok.copy()
+        if len(member) > 1:
+            for x in member[~ok[member]].tolist():
+                keep[x] = len(close(bits, sizes, x, member[member != x])) > 0
+        # in a neighbourhood of many blocks the others' fate is open
+        use = member[keep[member] | (blocks[member] > 1)]
+        return [c[use], node[use], sizes[use], blk[use], blocks[use], ok[use], keep[use]]
+
+    def second(table: pa.Table) -> list:
+        c, _, node, _, sizes = (table.column(i).to_numpy() for i in range(5))
+        guest = table.column(6).to_numpy(zero_copy_only=False)
+        bits, own = sketch_matrix(table.column(5).to_pylist()), np.flatnonzero(~guest)
+        use = [x for x in np.flatnonzero(guest).tolist() if len(close(bits, sizes, x, own))]
+        return [c[use], node[use], sizes[use]]
+
+    looked = cut(each(rows(placed.unionByName(centres(placed)), False), tasks, first, "c long,node long,size int,blk int,blocks int,ok boolean,keep boolean"))
+    loose = looked.where("blocks > 1 and not keep").select("c", "node", "blk", "blocks").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("to <> blk").select("c", F.col("to").alias("blk"), "node", "blocks")
+    met = each(rows(loose, True).unionByName(rows(looked.where("blocks > 1").select("c", "blk", "node", "blocks"), False)), tasks, second, "c long,node long,size int")
+    return looked.where("keep").select("c", "node", "size").unionByName(met.distinct())
+
+
+def sets_of(wanted: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """(node, items) of the nodes wanted (node, rep), from the texts of their rep documents.
+
+    A bitmap of the wanted documents, of eight bits for each up to a bound, spares the others' texts.
+    """
     spark = rows.sparkSession
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node")
-    place = F.pmod(F.xxhash64("rep"), F.lit(BITMAP)).cast("int")
-    bits = wanted.select(place.alias("place")).groupBy(F.expr("place div 32").alias("word")).agg(F.expr("bit_or(shiftleft(1L, place % 32))").alias("bits"))
-    bitmap = np.zeros(BITMAP // 32, np.uint32)
-    found = bits.toPandas()
+    size = 1 << min(BITMAP, max(15, (8 * wanted.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(size)).cast("int")
+    bits = wanted.select(place("rep").alias("place")).groupBy(F.expr("place div 32").alias("word")).agg(F.expr("bit_or(shiftleft(1L, place % 32))").alias("bits"))
+    bitmap, found = np.zeros(size // 32, np.uint32), bits.toPandas()
     bitmap[found["word"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
     shared = spark.sparkContext.broadcast(bitmap)
     schema = arrow_schema("node long,items binary")
@@ -264,35 +323,110 @@ def compare(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int) ->
     def run(batches):
         hashes, bitmap = WordHashes(), shared.value
         for batch in batches:
-            at = batch.column(2).to_numpy()
-            use = np.flatnonzero((bitmap[at >> 5] >> (at & 31).astype(np.uint32)) & 1)
-            part = batch.take(pa.array(use))
-            sets = [shingles(hashes.of(t), words) for t in part.column(1).cast(pa.binary()).to_pylist()]
-            sets = [s for s in sets if len(s)]
-            items = [np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array(items, pa.binary())], schema=schema)
-
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP)).cast("int")
-    sets = rows.where("doc_id is not null").select("doc_id", "body", place.alias("place")).mapInArrow(run, "node long,items binary")
-    sets = sets.join(wanted.select("node"), "node").dropDuplicates(["node"])
-    a, b = (sets.select(F.col("node").alias(x), F.col("items").alias(f"items_{x}")) for x in "ab")
-
-    def count(batches):
-        for batch in batches:
-            both, total = [], []
-            for x, y in zip(batch.column("items_a").to_pylist(), batch.column("items_b").to_pylist(), strict=True):
-                n = len(np.intersect1d(wide(x), wide(y)))
-                both.append(n)
-                total.append(len(x) // 5 + len(y) // 5 - n)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both, pa.int64()), pa.array(total, pa.int64())], names=["a", "b", "both", "any"])
-
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "items_a", "items_b").mapInArrow(count, "a long,b long,both long,any long")
-
-
-def jaccard_join(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, n_links (links of its set to different
-    sets that were verified), and for callers that filter: mark (xxhash64 of the text) and label (the
-    class; null where the row links with nothing by definition)."""
+            at = batch.column(1).to_numpy()
+            part = batch.take(pa.array(np.flatnonzero((bitmap[at >> 5] >> (at & 31).astype(np.uint32)) & 1)))
+            sets = [s for s in (shingles(hashes.of(t), words) for t in part.column(0).cast(pa.binary()).to_pylist()) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
+
+    sets = rows.where("doc_id is not null").select("body", place("doc_id").alias("place")).mapInArrow(run, "node long,items binary")
+    return sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+
+
+#: The bitmap of sets_of has two to this power bits at most: 16 MB.
+BITMAP = 27
+
+
+class Sets:
+    """Sets side by side, as numbers of their distinct elements."""
+
+    def __init__(self, items: list[bytes]):
+        self.size = np.array([len(b) // 8 for b in items])
+        flat = np.unique(np.frombuffer(b"".join(items), np.uint64), return_inverse=True)[1]
+        self.ids = np.split(flat, np.cumsum(self.size)[:-1])
+        self.mark = np.zeros(int(flat.max(initial=-1)) + 1, bool)
+
+    def linked(self, x: int, others: np.ndarray, percent: int) -> np.ndarray:
+        """Which of others link with x."""
+        n = self.size[x]
+        others = others[np.minimum(self.size[others], n) * 100 >= percent * np.maximum(self.size[others], n)]
+        if not len(others):
+            return others
+        self.mark[self.ids[x]] = True
+        starts = np.cumsum(self.size[others]) - self.size[others]
+        both = np.add.reduceat(self.mark[np.concatenate([self.ids[y] for y in others])], starts, dtype=np.int64)
+        self.mark[self.ids[x]] = False
+        return others[100 * both >= percent * (n + self.size[others] - both)]
+
+
+def verified(kept: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, percent: int, count: bool, tasks: int) -> DataFrame:
+    """(kind, a, b): kind 0, spanning links of each neighbourhood; 1, b of the links of node a."""
+    placed = cut(dealt(kept).select("c", "node", "blk", "blocks"))
+    whole = placed.unionByName(centres(placed))
+    wanted = cut(whole.select("node").distinct().join(nodes.select("node", "rep"), "node"))
+    sets = cut(sets_of(wanted, rows, words))
+    if count:
+        of = whole.groupBy("node").agg(F.sort_array(F.collect_set("c")).alias("of"))
+        sets = sets.join(of, "node")
+    else:
+        sets = sets.withColumn("of", F.lit(None).cast("array<long>"))
+    laid = lambda df, guest: df.join(sets, "node").select("c", "blk", "node", "items", "of", F.lit(guest).alias("guest"))
+    ddl = "kind int,a long,b long,blk int"
+
+    def search(table: pa.Table, hosts: np.ndarray | None) -> tuple[list, list, np.ndarray]:
+        """Spanning links, counts by row, and the class of each row. hosts: the rows that visitors, which are the others, meet."""
+        c, node = table.column(0).to_numpy(), table.column(2).to_numpy()
+        sets, label, counts, links = Sets(table.column(3).to_pylist()), np.arange(len(node)), np.zeros(len(node), np.int64), []
+        held = [frozenset(x) for x in table.column(4).to_pylist()] if count else None
+        at = np.flatnonzero(node == c)
+        first, rest = at[:1], np.flatnonzero(node != c)
+        order = np.r_[first, rest] if hosts is None else np.setdiff1d(np.arange(len(node)), hosts)
+        for k, x in enumerate(order.tolist()):
+            if count:
+                others = order[k + 1 :] if hosts is None else hosts
+            else:
+                if hosts is None and k and label[x] == label[first[0]]:
+                    continue
+                others = rest if hosts is None else hosts
+                others = others[label[others] != label[x]]
+            for y in sets.linked(x, others, percent).tolist():
+                if count and min(held[x] & held[y]) == c[0]:
+                    counts[x] += 1
+                    counts[y] += 1
+                if label[x] != label[y]:
+                    label[label == label[y]] = label[x]
+                    links.append((int(node[x]), int(node[y])))
+        return links, counts.tolist(), label
+
+    def out(links: list, table: pa.Table, counts: list, left: list) -> list:
+        node, blk = table.column(2).to_pylist(), table.column(1)[0].as_py()
+        found = [(0, a, b, blk) for a, b in links] + [(1, n, k, blk) for n, k in zip(node, counts, strict=True) if k] + left
+        return [list(x) for x in zip(*found, strict=True)] if found else [[], [], [], []]
+
+    def alone(table: pa.Table) -> list:
+        links, counts, label = search(table, None)
+        c, node, blk = table.column(0).to_numpy(), table.column(2).to_numpy(), table.column(1)[0].as_py()
+        centre = label[np.flatnonzero(node == c)[0]]
+        # in a neighbourhood of many blocks these visit the others
+        open_ = np.flatnonzero((node != c) & ((label != centre) | count))
+        return out(links, table, counts, [(2, int(c[0]), int(node[x]), blk) for x in open_] if table.column(6)[0].as_py() > 1 else [])
+
+    def visited(table: pa.Table) -> list:
+        guest = table.column(5).to_numpy(zero_copy_only=False)
+        links, counts, _ = search(table, np.flatnonzero(~guest))
+        return out(links, table, counts, [])
+
+    blocks = whole.groupBy("c").agg(F.max("blocks").alias("blocks"))
+    got = cut(each(laid(whole, False).join(blocks.where("blocks > 1"), "c", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))), tasks, alone, ddl))
+    guests = got.where("kind = 2").select(F.col("a").alias("c"), F.col("b").alias("node"), "blk").join(blocks, "c")
+    guests = guests.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("to > blk" if count else "to <> blk").select("c", F.col("to").alias("blk"), "node")
+    met = each(laid(guests, True).unionByName(laid(placed.where("blocks > 1"), False)), tasks, visited, ddl)
+    return cut(got.where("kind < 2").unionByName(met).select("kind", "a", "b"))
+
+
+def jaccard_join(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", count: bool = True) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, n_links (the different sets that its set
+    links with; null unless count), and for callers that filter: mark (xxhash64 of the text) and label
+    (the class; null where the row links with nothing by definition)."""
     spark = session(docs)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slots = buckets_for(2 * stored_bytes(docs))
@@ -300,121 +434,29 @@ def jaccard_join(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str
     found = cut(group(describe(rows, words, percent, slots), tasks, slots))
     members = found.where("kind = 1").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), "mark", "size", F.col("blob").alias("sketch"))
     nodes = members.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
-    linked = F.col("both") * 100 >= F.col("any") * percent
-    tried = cut(compare(cut(near(found.where("kind = 0"), nodes, percent)), nodes, rows, words))
-    links = tried.where(linked).select("a", "b")
-    label = components(links)
-
-    # second round: members of a group whose star left them in different components
-    raw = found.where("kind = 2").select(F.col("a").alias("grp"), F.col("b").alias("centre"), "blob")
-    listed = explode_members(raw).distinct()
-    far = F.coalesce(1 - F.col("both") / F.col("any"), F.when(F.col("node") == F.col("centre"), 0.0).otherwise(1.0))
-    placed = listed.join(tried.select(F.col("a").alias("centre"), F.col("b").alias("node"), "both", "any"), ["centre", "node"], "left").join(label, "node", "left")
-    placed = placed.select("grp", "node", F.coalesce("label", "node").alias("label"), far.alias("far"), F.col("both").isNull().alias("unknown"))
-    open_groups = placed.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count(F.lit(1)) / ROW).alias("blocks")).where("lo <> hi").select("grp", "blocks")
-    placed = placed.join(open_groups, "grp").join(nodes.select("node", "size", "sketch"), "node")
-    placed, failed, forests = cut(placed), None, 1
-    while True:
-        offered = cut(across(placed, failed, percent, forests))
-        pairs = cut(offered.select("a", "b").distinct())
-        if pairs.isEmpty():
-            break
-        got = cut(compare(pairs, nodes, rows, words).withColumn("ok", linked))
-        more = got.where("ok").select("a", "b")
-        links = links.unionByName(more)
-        # what the new links join are components: only their names are worked on
-        name = placed.select("node", "label").distinct()
-        joined = more.join(name.toDF("a", "label_a"), "a").join(name.toDF("b", "label_b"), "b")
-        renamed = components(joined.select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))).toDF("old", "new")
-        rename = lambda df: df.join(renamed, F.col("label") == F.col("old"), "left").withColumn("label", F.coalesce("new", "label")).drop("old", "new")
-        # nodes that were in no link so far have their own name
-        alone = more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(label, "node", "left_anti").select("node", F.col("node").alias("label"))
-        label = cut(rename(label.unionByName(alone)))
-        wrong = cut(offered.join(got.where("not ok").select("a", "b"), ["a", "b"]))
-        if wrong.isEmpty():
-            break
-        # a group whose offers all hold has no more to offer; the others offer more at a time
-        failed = wrong if failed is None else failed.unionByName(wrong)
-        placed, forests = cut(rename(placed.join(wrong.select("grp").distinct(), "grp"))), 4 * forests
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    named = members.join(label, "node", "left").withColumn("label", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "node")))
+    pairs = found.where("kind = 0").select(F.col("a").alias("c"), F.col("b").alias("node")).distinct()
+    links = verified(cut(near(pairs, nodes, percent, tasks)), nodes, rows, words, percent, count, tasks)
+    label = components(links.where("kind = 0").select("a", "b"))
+    named = members.drop("sketch").join(label, "node", "left").withColumn("label", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "node")))
     first = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    degree = links.where("kind = 1").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("n_links"))
     out = named.join(first, "label", "left").join(degree, "node", "left")
-    return out.select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "mark", "label")
+    n_links = F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long") if count else F.lit(None).cast("long")
+    return out.select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), n_links.alias("n_links"), "mark", "label")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns as they are, with one row of each class: that of the smallest id
     (and mark, where ids repeat). Rows without an id or without words all stay."""
-    found = jaccard_join(docs, words, percent, id_col, text_col)
-    first = found.where("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "mark")).alias("x")).select("x.doc_id", "x.mark")
-    loose = found.where("label is null").select("doc_id", "mark").distinct()
-    with_mark = docs.withColumn("__mark", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).withColumn("__id", F.col(id_col).cast("long"))
-    match = F.col("__id").eqNullSafe(F.col("doc_id_")) & (F.col("__mark") == F.col("mark_"))
-    named = lambda df: df.select(F.col("doc_id").alias("doc_id_"), F.col("mark").alias("mark_"))
-    kept = with_mark.join(named(first), match, "left_semi").dropDuplicates(["__id", "__mark"])
-    return kept.unionByName(with_mark.join(named(loose), match, "left_semi")).drop("__mark", "__id")
-
-
-def across(placed: DataFrame, failed: DataFrame | None, percent: int, forests: int) -> DataFrame:
-    """(grp, block, a, b): disjoint spanning forests, over components, of a group's pairs, one of them
-    not linked to the centre, that sizes, distances to the centre and bit sketches allow to link and
-    that haven't failed.
-
-    Members are dealt to blocks of about ROW; those not linked go to all blocks of their group.
-    """
-    reach = 1 - percent / 100 + 1e-9
-    columns = ["grp", "node", "label", "far", "unknown", "size", "sketch"]
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
-    all_blocks = F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("block")
-    dealt = placed.select(*columns, block, F.lit(False).alias("loose")).unionByName(placed.where(F.col("far") > reach).select(*columns, all_blocks, F.lit(True).alias("loose")))
-
-    def run(table: pa.Table, struck: pa.Table) -> pa.Table:
-        names = ("grp", "block", "a", "b")
-        if not table.num_rows:
-            return pa.table([pa.array([], pa.int64())] * 4, names=names).cast(pa.schema([("grp", pa.int64()), ("block", pa.int32()), ("a", pa.int64()), ("b", pa.int64())]))
-        node, label, far, unknown, size, loose = (table.column(c).to_numpy() for c in ("node", "label", "far", "unknown", "size", "loose"))
-        no = set(zip(struck.column("a").to_pylist(), struck.column("b").to_pylist(), strict=True))
-        bits = sketch_matrix(table.column("sketch").to_pylist())
-        there, found = np.flatnonzero(~loose), []
-        for x in np.flatnonzero(loose).tolist():
-            n = int(size[x])
-            may = (label[there] != label[x]) & (np.minimum(size[there], n) * 100 >= percent * np.maximum(size[there], n))
-            if not unknown[x]:
-                may &= unknown[there] | (np.abs(far[there] - far[x]) <= reach)
-            y = there[may]
-            if len(y):
-                off = sketch_distances(bits, x, y)
-                most = np.array([limit(n + int(m), percent) for m in size[y]])
-                found += [(int(d), x, int(z)) for d, z in zip(off[off <= most], y[off <= most], strict=True)]
-        def root(parent: dict[int, int], i: int) -> int:
-            while (p := parent.get(i, i)) != i:
-                parent[i] = parent.get(p, p)
-                i = p
-            return i
-
-        left, out = sorted(found), []
-        for _ in range(forests):
-            parent: dict[int, int] = {}
-            rest = []
-            for d, x, y in left:
-                pair = (min(int(node[x]), int(node[y])), max(int(node[x]), int(node[y])))
-                if pair in no:
-                    continue
-                if (u := root(parent, int(label[x]))) != (v := root(parent, int(label[y]))):
-                    parent[u] = v
-                    out.append(pair)
-                else:
-                    rest.append((d, x, y))
-            if not parent:
-                break
-            left = rest
-        k = len(out)
-        return pa.table([pa.array(table.column("grp")[:1].to_pylist() * k, pa.int64()), pa.array(table.column("block")[:1].to_pylist() * k, pa.int32()), pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=names)
-
-    if failed is None:
-        failed = dealt.sparkSession.createDataFrame([], "grp long,block int,a long,b long")
-    return dealt.groupBy("grp", "block").cogroup(failed.groupBy("grp", "block")).applyInArrow(run, "grp long,block int,a long,b long")
+    found = jaccard_join(docs, words, percent, id_col, text_col, count=False)
+    first = found.where("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "mark")).alias("x")).select("x.doc_id", "x.mark", F.lit(True).alias("once"))
+    loose = found.where("label is null").select("doc_id", "mark", F.lit(False).alias("once")).distinct()
+    named = first.unionByName(loose).toDF("of_id", "of_mark", "once")
+    body = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"), F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(body).alias("mark"))
+    kept = whole.join(named, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark"))).select("kept", "id", "mark", "once")
+    both = kept.where("once").dropDuplicates(["id", "mark"]).unionByName(kept.where("not once"))
+    return both.select("kept.*")
 
 
 def sketch_matrix(sketches: list[bytes]) -> dict[int, np.ndarray]:
@@ -441,16 +483,3 @@ def sketch_distances(bits: dict[int, np.ndarray], x: int, y: np.ndarray) -> np.n
         use = short == n
         out[use] = np.bitwise_count(bits[n][y[use]] ^ bits[n][x]).sum(1)
     return out
-
-
-def explode_members(raw: DataFrame) -> DataFrame:
-    """(grp, centre, node) of the packed rows of groups."""
-
-    def run(batches):
-        for batch in batches:
-            blobs = batch.column(2).to_pylist()
-            times = np.array([len(b) // 8 for b in blobs], np.int64)
-            grp, centre = (np.repeat(batch.column(i).to_numpy(), times) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(grp), pa.array(centre), pa.array(np.frombuffer(b"".join(blobs), "<i8"))], names=["grp", "centre", "node"])
-
-    return raw.mapInArrow(run, "grp long,centre long,node long")

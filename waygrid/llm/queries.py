@@ -70,7 +70,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 OP8_SQL = r"""
@@ -88,7 +88,9 @@ c(n, k) USING KEY (n) AS (
   UNION
   (SELECT u.b, min(c.k) FROM c JOIN u ON u.a = c.n JOIN recurring.c r ON r.n = u.b GROUP BY u.b, r.k HAVING min(c.k) < r.k)
 )
-SELECT doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, k AS component_id FROM s JOIN c ON n = doc_id
+SELECT doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, k AS component_id,
+  (SELECT CAST(count(DISTINCT list_sort(y.s)) AS BIGINT) FROM u JOIN s y ON y.doc_id = u.b WHERE u.a = s.doc_id AND list_sort(y.s) <> list_sort(s.s)) AS n_links
+FROM s JOIN c ON n = doc_id
 """
 
 
