@@ -7,14 +7,18 @@ backoff weight and leads to the root, which reads every word. The state after a
 depends on that word alone, so one left-to-right traversal is a shift and a lookup.
 
 Counts cover all training text, and every bigram of at least `least` occurrences has an
-arc, at any size of the corpus. Only words and bigrams whose share of the training
+arc, at any size of the corpus (`least` is 1 or a small constant). Only words and bigrams whose share of the training
 tokens is over SHARE are collected and broadcast, at most 1/SHARE of each, so that no
 bucket meets a very common key. All others stay distributed: a bigram lives in the
 bucket of its context if that is rare, else of its word if that is rare, else of its
 own hash, and each task of the scoring pass asks those buckets for arcs and the bucket
 of each rare word for its count and backoff. The answers return to that task's documents.
 
-Words and bigrams are known by 64-bit hashes.
+Words and bigrams are known by 56-bit hashes, which travel in seven bytes; counts of
+bigrams travel by context, so that a context's hash goes once per batch and bucket.
+
+Documents of one task are numbered as they come, so an input that is itself the result
+of a shuffle is written first: a lost task's rows then come back in the same order.
 
 Defined cases: a null text is empty and scores its end token alone; a null id counts
 as the empty string where ids are hashed; rows that repeat are trained on and scored
@@ -29,15 +33,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, buckets_for, cut, pack, session, stored_bytes, text_or_empty
+from .common import arrow_schema, cut, pack, session, stored_bytes, text_or_empty
 from .winnow import join, mix
 from .words import WordHashes
 
 SHARE = 2e-6
 DISCOUNT = 0.75
 END, START = np.uint64(0x5EED), np.uint64(0x57A7)
-#: Tokens that a batch gathers before it sends counts.
-BATCH = 1 << 21
+#: Tokens that a batch gathers before it sends counts, and stored bytes for which one bucket is planned.
+BATCH, BUCKET = 1 << 21, 16 << 20
+#: Of a hash, the bits that are kept.
+KEPT = np.uint64((1 << 56) - 1)
 COUNT = np.dtype([("h", "<u8"), ("c", "<u4")])
 TOTAL = np.dtype([("h", "<u8"), ("c", "<u8")])
 ASK = np.dtype([("h", "<u8"), ("row", "<u4"), ("n", "<u4")])
@@ -61,7 +67,7 @@ def tokens(hashes: WordHashes, texts: list[bytes]) -> tuple[np.ndarray, np.ndarr
     """Hashes of the words of all texts, an end after each, and where each text's tokens end."""
     parts = []
     for t in texts:
-        parts += (hashes.of(t), END_ARRAY)
+        parts += (hashes.of(t) & KEPT, END_ARRAY)
     sizes = np.array([len(p) + 1 for p in parts[::2]], np.int64)
     return np.concatenate(parts), np.cumsum(sizes)
 
@@ -79,7 +85,7 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def pair_hash(a: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return join(mix(a), w)
+    return join(mix(a), w) & KEPT
 
 
 def contexts_of(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -162,24 +168,59 @@ def gathered(rows: DataFrame, slots: int) -> DataFrame:
     return rows.select("body").mapInArrow(run, "slot int,blob binary")
 
 
+def seven(h: np.ndarray) -> bytes:
+    return np.ascontiguousarray(np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
+
+
+def from_seven(blob: bytes, n: int, place: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :7] = np.frombuffer(blob, np.uint8, 7 * n, place).reshape(-1, 7)
+    return out.view(np.uint64)[:, 0]
+
+
+def widths(dtype: np.dtype) -> list[int]:
+    return [7 if dtype[f] == np.uint64 else dtype[f].itemsize for f in dtype.names]
+
+
 def columns(records: np.ndarray) -> bytes:
-    """The fields one after another, which shuffles compress better than records."""
-    return b"".join(np.ascontiguousarray(records[f]).tobytes() for f in records.dtype.names)
+    """The fields one after another, which shuffles compress better than records; hashes in seven bytes."""
+    return b"".join(seven(records[f]) if records.dtype[f] == np.uint64 else np.ascontiguousarray(records[f]).tobytes() for f in records.dtype.names)
 
 
 def from_columns(blobs: list[bytes], dtype: np.dtype) -> np.ndarray:
-    out, at = np.empty(sum(map(len, blobs)) // dtype.itemsize, dtype), 0
+    wide = widths(dtype)
+    out, at = np.empty(sum(len(b) // sum(wide) for b in blobs), dtype), 0
     for blob in blobs:
-        n, place = len(blob) // dtype.itemsize, 0
-        for f in dtype.names:
-            out[f][at : at + n] = np.frombuffer(blob, dtype[f], n, place)
-            place += n * dtype[f].itemsize
+        n, place = len(blob) // sum(wide), 0
+        for f, k in zip(dtype.names, wide, strict=True):
+            out[f][at : at + n] = from_seven(blob, n, place) if dtype[f] == np.uint64 else np.frombuffer(blob, dtype[f], n, place)
+            place += n * k
         at += n
     return out
 
 
+def by_context(pairs: np.ndarray) -> bytes:
+    """PAIR records as their number of contexts, the contexts, the number of words of each, words and counts."""
+    pairs = pairs[np.argsort(pairs["a"], kind="stable")]
+    starts = np.flatnonzero(np.r_[True, pairs["a"][1:] != pairs["a"][:-1]])
+    sizes = np.diff(np.r_[starts, len(pairs)]).astype("<u4")
+    return np.uint32(len(starts)).tobytes() + seven(pairs["a"][starts]) + sizes.tobytes() + seven(pairs["w"]) + pairs["c"].tobytes()
+
+
+def from_contexts(blobs: list[bytes]) -> np.ndarray:
+    parts = []
+    for blob in blobs:
+        k = int(np.frombuffer(blob, "<u4", 1)[0])
+        sizes = np.frombuffer(blob, "<u4", k, 4 + 7 * k)
+        n, at = int(sizes.sum()), 4 + 11 * k
+        part = np.empty(n, PAIR)
+        part["a"], part["w"], part["c"] = np.repeat(from_seven(blob, k, 4), sizes), from_seven(blob, n, at), np.frombuffer(blob, "<u4", n, at + 7 * n)
+        parts.append(part)
+    return np.concatenate(parts) if parts else np.empty(0, PAIR)
+
+
 def bigrams(rows: DataFrame, shared, slots: int) -> DataFrame:
-    """(slot, blob) of PAIR by columns, once per bigram of a batch."""
+    """(slot, blob) of PAIR by context, once per bigram of a batch."""
     schema = arrow_schema("slot int,blob binary")
 
     def run(batches):
@@ -191,7 +232,7 @@ def bigrams(rows: DataFrame, shared, slots: int) -> DataFrame:
             out = np.empty(len(key), PAIR)
             out["a"], out["w"], out["c"] = a[first], w[first], counts
             slot, blob = pack(out, model.slots(out["a"], out["w"], key, slots), slots)
-            return pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array([columns(np.frombuffer(b, PAIR)) for b in blob], pa.binary())], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array([by_context(np.frombuffer(b, PAIR)) for b in blob], pa.binary())], schema=schema)
 
         for batch in batches:
             if batch.num_rows:
@@ -211,7 +252,7 @@ def pair_totals(sent: DataFrame, tasks: int, least: int) -> DataFrame:
     """(slot, blob) of the bigrams of at least least occurrences, PAIR."""
 
     def run(table: pa.Table) -> pa.Table:
-        got = from_columns(table.column("blob").to_pylist(), PAIR)
+        got = from_contexts(table.column("blob").to_pylist())
         key = pair_hash(got["a"], got["w"])
         order = np.argsort(key, kind="stable")
         key, got = key[order], got[order]
@@ -350,7 +391,7 @@ def scored(rows: DataFrame, shared, slots: int) -> DataFrame:
         def send():
             got = np.concatenate(asked)
             slot, blob = pack(got, slot_of(got["h"], slots), slots)
-            return table(0, len(slot), slot=slot, blob=blob)
+            return table(0, len(slot), slot=slot, blob=[columns(np.frombuffer(b, ASK)) for b in blob])
 
         def send_pairs():
             got, where = (np.concatenate(x) for x in zip(*wanted, strict=True))
@@ -381,7 +422,7 @@ def scored(rows: DataFrame, shared, slots: int) -> DataFrame:
                 if waiting >= BATCH // 2:
                     yield send_pairs()
                     wanted, waiting = [], 0
-            yield table(1, n, slot=[(chunk * 31 + row // 4096) % slots] * n, doc_id=batch.column(0), held_out=batch.column(1), n_tokens=np.diff(np.r_[0, ends]), known=np.bincount(doc[has], minlength=n), base=base, score=beyond, blob=[(row + i).to_bytes(4, "little") for i in range(n)])
+            yield table(1, n, slot=[(chunk * 31 + row // 64) % slots] * n, doc_id=batch.column(0), held_out=batch.column(1), n_tokens=np.diff(np.r_[0, ends]), known=np.bincount(doc[has], minlength=n), base=base, score=beyond, blob=[(row + i).to_bytes(4, "little") for i in range(n)])
             rare = np.flatnonzero(~has)
             if len(rare):
                 order = rare[np.lexsort((h[rare], doc[rare]))]
@@ -426,7 +467,7 @@ def answered(sent: DataFrame, have: DataFrame, shared) -> DataFrame:
                 out = np.empty(len(row), GAIN)
                 out["row"], out["more"] = row, np.bincount(which, gains[at[hit]], len(row))
                 return out
-            got = np.frombuffer(b"".join(blobs), ASK)
+            got = from_columns(blobs, ASK)
             at, back = found(words["h"], got["h"]), found(fails["h"], got["h"])
             c, fail = np.zeros(len(got)), np.zeros(len(got))
             c[at >= 0], fail[back >= 0] = words["c"][at[at >= 0]], fails["fail"][back[back >= 0]]
@@ -476,8 +517,11 @@ def held_out_by_id(id_col: str, modulus: int, rest: int) -> Column:
 def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", least: int = 2) -> DataFrame:
     """One row per input row; the model learns from rows where held_out is false and keeps bigrams of at least least occurrences."""
     spark = session(docs)
-    tasks, slots = int(spark.conf.get("spark.sql.shuffle.partitions")), buckets_for(stored_bytes(docs))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slots = max(tasks, stored_bytes(docs) // BUCKET)
     rows = text_or_empty(docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("body")), "body")
+    if "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
+        rows = cut(rows)
     train = rows.where(~F.col("held_out"))
     counted = cut(totals(gathered(train, slots), tasks))
     total, types = counted.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
