@@ -31,8 +31,13 @@ def pii(text):
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
 
+def secret_values(text):
+    out = [(m.start(), 0, "assign", m.end(), m[2]) for m in re.finditer(ASSIGN, text, re.I | re.A) if len(m[2]) >= 6]
+    out += [(m.start(), 1, "access", m.end(), m[0]) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, "hex", m.end(), m[0]) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return out
+
+
 def secrets(text):
-    out = [(m.start(), 0, "assign", m.end()) for m in re.finditer(ASSIGN, text, re.I | re.A) if len(m[2]) >= 6]
-    out += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
-    out += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    out = [x[:4] for x in secret_values(text)]
     return [sum(x[2] == k for x in out) for k in ("assign", "access", "hex")], digest(out)

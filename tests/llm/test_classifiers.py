@@ -27,7 +27,7 @@ def big(spark):
 
 def test_language_held_out(spark, big):
     docs = spark.read.parquet(f"{big}/documents.parquet")
-    odd = spark.createDataFrame([(None, None, None), (-1, "", "en"), (-2, "123 !!", "fr"), (-3, "слово слово", None), (-4, "the of and is", None)], "doc_id long, text string, lang string")
+    odd = spark.createDataFrame([(None, None, None), (-1, "", "en"), (-2, "123 !! \u00bd \u00b2 \u2460 \u2167 _", "fr"), (-3, "слово слово", None), (-4, "the of and is", None)], "doc_id long, text string, lang string")
     both = docs.select("doc_id", "text", "lang").union(odd).withColumn("score", F.lit("x"))
     got = language_id(both, held_out_by_id("doc_id", 5, 0)).toPandas()
     assert len(got) == docs.count() + 5

@@ -22,7 +22,7 @@ def test_align():
     rng = random.Random(2)
     for _ in range(60):
         p, t = bytes(rng.choices(b"ab", k=rng.randint(1, 12))), bytes(rng.choices(b"ab", k=rng.randint(0, 30)))
-        got = align(np.frombuffer(p, np.uint8), np.frombuffer(t, np.uint8), len(p))
+        got = align(np.frombuffer(p, np.uint8), np.frombuffer(t, np.uint8), -len(p), len(t), len(p))
         assert got[0] == least_edits(p, t)
         assert least_edits(p, t[got[1] : got[2]]) == got[0]
 

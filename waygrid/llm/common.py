@@ -27,7 +27,7 @@ BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 BUCKET_BYTES = 4 << 20
 #: Assumed for a row where the optimizer knows no size.
 ROW_BYTES = 2 << 10
-MIN_BUCKETS, MAX_BUCKETS = 96, 1 << 16
+MIN_BUCKETS = 96
 
 
 def session(df: DataFrame) -> SparkSession:
@@ -41,7 +41,7 @@ def cut(df: DataFrame) -> DataFrame:
     """df, materialised in the folder that the cluster shares; its lineage ends there."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="waygrid-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     out = df.checkpoint(eager=True)
     # Spark drops the shuffles of finished phases when the driver's garbage is collected, which may be long after
     gc.collect()
@@ -49,6 +49,15 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares; without a cluster, where none is named, one of this machine."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return folder or tempfile.mkdtemp(prefix="waygrid-")
+
+
 def stored_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of df's size (for a file scan, the files' bytes), or where it has none, from a count."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -57,7 +66,7 @@ def stored_bytes(df: DataFrame) -> int:
 
 def buckets_for(size: int) -> int:
     """How many buckets packed records of an input of that many bytes are dealt to."""
-    return int(min(MAX_BUCKETS, max(MIN_BUCKETS, size // BUCKET_BYTES)))
+    return int(max(MIN_BUCKETS, size // BUCKET_BYTES))
 
 
 def text_or_empty(df: DataFrame, text: str) -> DataFrame:

@@ -10,7 +10,8 @@ EDITS_IN edits of it.
 * A match keeps its hits within BUDGET(m) diagonals (document place minus passage
   place), so hits are counted, by distinct passage place, in diagonal bands of twice
   that width that overlap by half. Bands with `spare` hits or more are verified.
-* Verification is a banded semi-global alignment of the whole passage.
+* Verification is a semi-global alignment of the whole passage by the cells of the band
+  and of BUDGET(m) diagonals to each side alone.
 
 The passages are collected only up to BLOCK bytes at a time; a larger benchmark is
 worked through in blocks, each a step of the same scan. Documents aren't shuffled.
@@ -47,26 +48,35 @@ def normal(text: str) -> bytes:
     return " ".join(text.replace("\x00", " ").lower().split()).encode()
 
 
-def align(passage: np.ndarray, region: np.ndarray, budget: int) -> tuple[int, int, int] | None:
-    """The least edits, at most budget, of the passage against a stretch of the region, and that stretch."""
-    n = len(region)
-    cost, start = np.zeros(n + 1, np.int64), np.arange(n + 1)
-    place = np.arange(n + 1)
-    for c in passage:
-        step = np.empty(n + 1, np.int64)
-        step[0], step[1:] = cost[0] + 1, cost[:-1] + (region != c)
-        came = np.r_[start[:1], start[:-1]]
-        up = cost + 1 < step
-        step, came = np.where(up, cost + 1, step), np.where(up, start, came)
+def align(passage: np.ndarray, text: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
+    """The least edits, at most budget, of the passage against a stretch of the text, and that stretch, by
+    paths within the diagonals (place in the text less place in the passage) low to high."""
+    n, wide = len(text), high - low + 1
+    far = len(passage) + budget + n + 1
+    place = np.arange(low, high + 1)
+    inside = (place >= 0) & (place <= n)
+    cost, start = np.where(inside, 0, far), place.copy()
+    padded = np.full(len(passage) + wide, -1, np.int64)
+    a, b = max(0, -low), max(0, min(n - low, len(padded)))
+    padded[a:b] = text[a + low : b + low]
+    for r, c in enumerate(passage.tolist()):
+        place = place + 1
+        step = cost + (padded[r : r + wide] != c)
+        # a passage byte without counterpart: from the next diagonal
+        up = np.r_[cost[1:], far] + 1
+        step, came = np.where(up < step, up, step), np.where(up < step, np.r_[start[1:], 0], start)
+        step[(place < 0) | (place > n)] = far
+        if place[0] <= 0 <= place[-1]:
+            step[-int(place[0])], came[-int(place[0])] = up[-int(place[0])], np.r_[start[1:], 0][-int(place[0])]
         # a run of document bytes without counterpart: the best of what lies to the left
-        key = (step - place) * (n + 2) + (n + 1 - place)
-        best = np.minimum.accumulate(key)
-        from_ = n + 1 - best % (n + 2)
-        cost, start = step[from_] + place - from_, came[from_]
+        key = (step - place) * (wide + 1) + np.arange(wide, 0, -1)
+        from_ = wide - np.minimum.accumulate(key) % (wide + 1)
+        cost, start = np.minimum(step[from_] + place - place[from_], far), came[from_]
+        cost[place > n] = far
         if cost.min() > budget:
             return None
     end = int(cost.argmin())
-    return (int(cost[end]), int(start[end]), end) if cost[end] <= budget else None
+    return (int(cost[end]), int(start[end]), int(place[end])) if cost[end] <= budget else None
 
 
 class Passages:
@@ -160,13 +170,14 @@ class Passages:
             lo, w = b * max(budget, 1), max(budget, 1)
             region_at = max(0, lo - budget)
             region = held[p][region_at : max(0, lo + 2 * w + len(passage) + budget)]
+            diagonals = lo - budget - region_at, lo + 2 * w + budget - region_at
             have = out[owner[p]].get(k)
             if have and have[3] == 0:
                 continue
             if (exact := region.find(passage)) >= 0:
                 got = (0, exact, exact + len(passage))
             else:
-                got = align(np.frombuffer(passage, np.uint8), np.frombuffer(region, np.uint8), budget)
+                got = align(np.frombuffer(passage, np.uint8), np.frombuffer(region, np.uint8), *diagonals, budget)
             if got:
                 s = begin[p] + region_at
                 mine = (k, s + got[1], s + got[2], got[0])

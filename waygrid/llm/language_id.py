@@ -3,8 +3,8 @@
 Learning counts, over all training text, the letters of each script and the byte
 n-grams (ORDERS, within words and their borders) of each language. n-grams are
 hashed to FEATURES numbers, so the model is one row of FEATURES floats a language,
-whatever the size of the corpus. Counting sends a language's counts in slices that
-are summed per slice, so that a language with most of the text is no hot key.
+whatever the size of the corpus. Each task sends a language's counts in slices; a slice
+is summed over groups of tasks first and over the FEW groups after that.
 
 Prediction: a word's script narrows the candidates to languages that use the script
 for at least SHARE of their letters (if there are none, all stay); its score for a
@@ -22,6 +22,7 @@ null ids are kept and count as the empty string where ids are hashed.
 from __future__ import annotations
 
 import re
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,11 @@ FEATURES, SLICE = 1 << 15, 1 << 11
 ORDERS = (2, 3, 4)
 SHARE, PENALTY, SMOOTH = 0.01, 10.0, 0.5
 CACHE, TOKENS = 300_000, 1 << 21
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Groups of tasks whose counts are summed first.
+FEW = 256
+#: Letters are what Unicode calls so (category L); \\w also takes other numerals than digits.
+NUMERALS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
 #: First code points of script ranges, in order; each range ends where the next begins.
 RANGES = [
     (0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"),
@@ -69,7 +74,7 @@ def grams(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
         if n in ORDERS:
             # no space inside, and not the gap between two words alone
             use = np.flatnonzero(~inner & ~(space[: len(inner)] & space[n - 1 :]))
-            out.append((mix(code[use] + np.uint64(n) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(FEATURES - 1)).astype(np.int64))
+            out.append((mix(code[use] + np.uint64(n * 0x9E3779B97F4A7C15 % (1 << 64))) & np.uint64(FEATURES - 1)).astype(np.int64))
             at.append(use)
     return (np.concatenate(out), np.concatenate(at)) if out else (np.empty(0, np.int64), np.empty(0, np.int64))
 
@@ -99,7 +104,9 @@ def learn(rows: DataFrame, train: Column) -> tuple[list[str], np.ndarray, np.nda
         return pa.table([table.column("lang")[:1], table.column("part")[:1], pa.array([total.tobytes()], pa.binary())], schema=schema)
 
     sent = rows.where(train & F.col("lang").isNotNull()).select("lang", "body").mapInArrow(count, "lang string,part int,blob binary")
-    got = sent.groupBy("lang", "part").applyInArrow(add, "lang string,part int,blob binary").collect()
+    # in two levels, so that no group takes a blob of every task
+    some = sent.withColumn("few", F.pmod(F.spark_partition_id(), F.lit(FEW))).groupBy("lang", "part", "few").applyInArrow(add, "lang string,part int,blob binary")
+    got = some.groupBy("lang", "part").applyInArrow(add, "lang string,part int,blob binary").collect()
     langs = sorted({r.lang for r in got})
     counts = np.zeros((len(langs), width))
     for r in got:

@@ -8,7 +8,9 @@ more than one group; a group loses at most its one last, part-filled bin.
 
 Token ids: a space between two characters that are no white space always starts a
 new pre-token, so the text is cut there and the ids of each part are cached. What
-is not cached is encoded by the byte-pair ranks of the same vocabulary.
+is not cached is encoded by the byte-pair ranks of the same vocabulary. A text that
+holds one of the vocabulary's added tokens is encoded whole by `tokenizers`, which gives
+such a token its own id.
 
 Defined cases: a null or empty text is one piece with the end token alone; a null
 id is kept; repeated rows are packed like any others; an empty table gives no rows.
@@ -45,11 +47,21 @@ def encoder(ranks_path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
+@lru_cache(2)
+def whole_encoder(vocabulary: str):
+    """The added tokens' texts, and the encoder that knows them."""
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(vocabulary)
+    return [t.content for t in own.get_added_tokens_decoder().values()], lambda text: own.encode(text, add_special_tokens=False).ids
+
+
 class Ids:
     """Token ids of texts, with a bounded cache of the ids of space-separated parts."""
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, vocabulary: str, ranks_path: str, pattern: str):
         self.encode, self.seen, self.at = encoder(ranks_path, pattern), {}, 0
+        self.added, self.whole = whole_encoder(vocabulary)
         self.flat, self.starts, self.sizes = np.empty(1 << 20, np.uint32), [], []
 
     def place(self, part: str) -> int:
@@ -64,6 +76,13 @@ class Ids:
         return len(self.starts) - 1
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
+        odd = {i for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        out = self.plain(["" if i in odd else t for i, t in enumerate(texts)])
+        for i in odd:
+            out[i] = np.array(self.whole(texts[i]), np.uint32)
+        return out
+
+    def plain(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.seen) > CACHE or self.at > 8 * CACHE:
             self.seen, self.at, self.starts, self.sizes = {}, 0, [], []
         get, place, numbers, counts = self.seen.get, self.place, [], []
@@ -94,13 +113,16 @@ class Ids:
 PIECES = "doc_id long,piece int,start long,length long,ids_crc32 long"
 
 
-def pieces(docs: DataFrame, ranks_path: str, pattern: str, size: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pieces of each document: its ids, an end token, cut only where longer than size; the first piece gets the remainder."""
+def pieces(docs: DataFrame, vocabulary: str, ranks_path: str, pattern: str, size: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The pieces of each document: its ids, an end token, cut only where longer than size; the first piece gets the remainder.
+
+    vocabulary is the tokenizer's file, ranks_path and pattern the same vocabulary's byte-pair ranks and pre-token pattern.
+    """
     session(docs)
     schema = arrow_schema(PIECES)
 
     def run(batches):
-        ids_of = Ids(ranks_path, pattern)
+        ids_of = Ids(vocabulary, ranks_path, pattern)
         for batch in batches:
             rows = [[], [], [], [], []]
             for doc, ids in zip(batch.column(0).to_pylist(), ids_of.of(batch.column(1).to_pylist()), strict=True):

@@ -48,13 +48,13 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets(table(spark, sf_dir, "documents")).drop("span_list")
+    return secrets(table(spark, sf_dir, "documents"), repo_cols=("lang",)).drop("span_list")
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
-    return pack_best_fit(pieces(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN))
+    return pack_best_fit(pieces(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

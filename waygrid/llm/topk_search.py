@@ -17,12 +17,16 @@ Search, in two rounds over shards of consecutive annuli:
    expansion stops where the bound passes the k-th best.
 Queries travel in blocks, so a (query, shard) visit is no row of its own.
 
-Bounds are relaxed by a relative SLACK for rounding; scores are exact integers.
-
-Defined cases: vectors that are null, empty of a dimension others have, or hold null or
-non-finite components take no part; a query never returns its own id; ties go to the
-smaller id; with fewer than k candidates all are returned; rows that repeat an id are
-candidates of their own.
+Rounding: with e = 8 (dim + 8) / 2^53, a squared distance of vectors of norms up to R is
+off by at most e * 4 R^2, so a distance by at most 2 R sqrt(e); bounds give way by that
+much (`slack`). Scores are exact: products are doubles only while every sum of them is
+below 2^53, else 64-bit integers.
+
+Defined cases: vectors that are null or hold null or non-finite components take no part,
+neither do those of a scaled norm of 2^31 or more, whose products may not fit a long;
+a shorter vector counts as filled up with zeros; a query never returns its own id; ties
+go to the smaller id; with fewer than k candidates all are returned; rows that repeat an
+id are candidates of their own, and the least of their vectors is the query.
 """
 
 from __future__ import annotations
@@ -36,15 +40,24 @@ from .common import arrow_schema, cut, session
 
 PIVOTS, SAMPLE = 32, 4096
 ANNULUS, SHARD, BLOCK = 512, 16_384, 1024
-SLACK = 1e-9
-MAX_SHARDS = 4096
+MAX_SHARDS = 1 << 16
+NONE = -np.iinfo(np.int64).max
+#: Bytes of query vectors that meet a shard in one task.
+PART = 64 << 20
+EXACT = 1 << 53
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """(vec_id, v): floor(scale * x) of each component as long, rows that take part only."""
     x = F.col(vector_col)
-    fine = x.isNotNull() & F.col(id_col).isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(fine, F.transform(x, lambda c: F.floor(c.cast("double") * scale))).alias("v")).where("v is not null")
+    fine = x.isNotNull() & F.col(id_col).isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    small = F.forall(x, lambda c: F.abs(c.cast("double") * scale) < 2.0**31)
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(fine & small, F.transform(x, lambda c: F.floor(c.cast("double") * scale))).alias("v")).where("v is not null")
+    return rows.where(squares("v") < 2.0**62)
+
+
+def squares(v: str) -> Column:
+    return F.aggregate(v, F.lit(0.0), lambda a, c: a + c.cast("double") * c)
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -52,6 +65,16 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float64)
 
 
+def slack(dim: int, top: float) -> float:
+    """How far a distance of vectors of squared norms up to top may be off."""
+    return 2 * (8 * (dim + 8) / EXACT * top) ** 0.5
+
+
+def products(q: np.ndarray, x: np.ndarray, top: float) -> np.ndarray:
+    """Inner products of integer vectors, exact."""
+    return q @ x.T if top < EXACT else q.astype(np.int64) @ x.astype(np.int64).T
+
+
 def lifted(x: np.ndarray, top: float) -> np.ndarray:
     return np.concatenate([x, np.sqrt(np.maximum(top - (x * x).sum(1), 0))[:, None]], 1)
 
@@ -77,12 +100,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     spark = session(vectors)
     ddl = "query_id long,rank int,vec_id long,score long"
     index = usable(vectors, id_col, vector_col, scale)
-    squares = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c)
-    head = index.agg(F.count(F.lit(1)), F.max(squares), F.max(F.size("v"))).first()
+    head = index.agg(F.count(F.lit(1)), F.max(squares("v")), F.max(F.size("v"))).first()
     if not head[0]:
         return spark.createDataFrame([], ddl)
-    count, top, dim = head[0], float(head[1]), head[2]
-    index = index.where(F.size("v") == dim)
+    # a component more than any vector has, so that none is empty
+    count, top, dim = head[0], float(head[1]), head[2] + 1
+    index = index.withColumn("v", F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(dim) - F.size("v"))))
+    off = 2 * slack(dim, top)
     pivots = pivots_of(index, top)
     tools = spark.sparkContext.broadcast((pivots, top))
 
@@ -105,6 +129,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
         """A lower bound of the distance of each query [row] to each part [column]."""
         return np.maximum(np.maximum(d[:, pivot] - hi[None], lo[None] - d[:, pivot]), 0)
 
+    def best_possible(apart: np.ndarray, norm: np.ndarray) -> np.ndarray:
+        """An upper bound of the product of vectors that far apart."""
+        return (norm[:, None] + top - np.maximum(apart - off, 0) ** 2) / 2 + off * off + 1
+
     def home(batches):
         (pivots, top), (shard, pivot, lo, hi) = tools.value, meta.value
         for batch in batches:
@@ -112,9 +140,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
                 q = matrix(batch.column(1))
                 d = distances(np.concatenate([q, np.zeros((len(q), 1))], 1), pivots)
                 near = gap(d, pivot, lo, hi) + (pivot[None] != d.argmin(1)[:, None]) * 1e12
-                yield from blocks(batch.column(0), batch.column(1), shard[near.argmin(1)], np.full(len(q), -np.inf), np.full(len(q), -1))
+                yield from blocks(batch.column(0), batch.column(1), shard[near.argmin(1)], np.full(len(q), NONE))
 
-    def blocks(ids, vectors, shard, bound, skip):
+    def blocks(ids, vectors, shard, bound):
         """Query blocks: rows of one shard go together."""
         order = np.argsort(shard, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
@@ -140,36 +168,41 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
         lo, hi, of = far[edges], far[np.array(ends) - 1], pivot[edges]
         out_q, out_v, out_s = [], [], []
         for block in queries.to_pylist():
-            qid, bound = np.frombuffer(block["ids"], np.int64), np.frombuffer(block["bound"]).copy()
+            qid, bound = np.frombuffer(block["ids"], np.int64), np.frombuffer(block["bound"], np.int64)
             q = np.frombuffer(block["q"]).reshape(len(qid), -1)
             norm = (q * q).sum(1)
             d = distances(np.concatenate([q, np.zeros((len(q), 1))], 1), pivots)
-            least = gap(d, of, lo, hi) * (1 - SLACK)
             # the best product that an annulus could hold
-            most = (norm[:, None] + top - least**2) / 2 + SLACK * (norm[:, None] + top) + 1
-            best_s, best_i = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+            most = best_possible(gap(d, of, lo, hi), norm)
+            best_s, best_i = np.full((len(q), k), NONE), np.full((len(q), k), np.iinfo(np.int64).max)
             for a in np.argsort(-most.max(0), kind="stable").tolist():
-                use = np.flatnonzero(most[:, a] >= np.maximum(bound, best_s[:, -1]))
+                use = np.flatnonzero(most[:, a] >= np.maximum(bound, best_s[:, -1]).astype(np.float64))
                 if not len(use):
                     continue
                 some, names = x[edges[a] : ends[a]], ids[edges[a] : ends[a]]
-                s = np.where(names[None] == qid[use][:, None], -np.inf, q[use] @ some.T)
+                s = np.where(names[None] == qid[use][:, None], NONE, products(q[use], some, top).astype(np.int64))
                 if s.shape[1] > k:  # ties at the cut go to the smaller id
                     kth = np.partition(s, s.shape[1] - k, 1)[:, s.shape[1] - k]
-                    s = np.where(s >= np.maximum(kth, best_s[use, -1])[:, None], s, -np.inf)
+                    s = np.where(s >= np.maximum(kth, best_s[use, -1])[:, None], s, NONE)
                 every_s, every_i = np.concatenate([best_s[use], s], 1), np.concatenate([best_i[use], np.broadcast_to(names, s.shape)], 1)
                 keep = np.lexsort((every_i, -every_s), axis=1)[:, :k]
                 best_s[use], best_i[use] = np.take_along_axis(every_s, keep, 1), np.take_along_axis(every_i, keep, 1)
-            row, col = np.nonzero(np.isfinite(best_s))
+            row, col = np.nonzero(best_s > NONE)
             out_q.append(qid[row])
             out_v.append(best_i[row, col])
-            out_s.append(best_s[row, col].astype(np.int64))
+            out_s.append(best_s[row, col])
         return pa.table([pa.array(np.concatenate(c)) for c in (out_q, out_v, out_s)], schema=empty.schema)
 
     def search(queries: DataFrame) -> DataFrame:
-        return queries.groupBy("shard").cogroup(placed.groupBy("shard")).applyInArrow(visit, "query_id long,vec_id long,score long")
-
-    asked = placed.where(is_query).select("vec_id", "v").dropDuplicates(["vec_id"])
+        queries = cut(queries)
+        # a row per shard, at most MAX_SHARDS: a shard that many queries visit meets them in parts
+        parts = queries.groupBy("shard").agg(F.ceil(F.sum(F.length("q")) / PART).cast("int").alias("parts"))
+        ways = lambda x: F.broadcast(parts.select(F.col("shard").alias("to"), F.col("parts").alias(x)))
+        there = placed.join(ways("m"), F.col("shard") == F.col("to")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).drop("m", "to")
+        dealt = queries.join(ways("n"), F.col("shard") == F.col("to")).withColumn("part", F.pmod(F.xxhash64("ids"), F.col("n")).cast("int")).drop("n", "to")
+        return dealt.groupBy("shard", "part").cogroup(there.groupBy("shard", "part")).applyInArrow(visit, "query_id long,vec_id long,score long")
+
+    asked = placed.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
     first = cut(search(asked.mapInArrow(home, block_ddl)))
     bound = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("kth"))
 
@@ -178,17 +211,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
         for batch in batches:
             if not batch.num_rows:
                 continue
-            q, kth = matrix(batch.column(1)), np.array([-np.inf if s is None else float(s) for s in batch.column(2).to_pylist()])
+            q, kth = matrix(batch.column(1)), np.array([NONE if s is None else s for s in batch.column(2).to_pylist()], np.int64)
             d = distances(np.concatenate([q, np.zeros((len(q), 1))], 1), pivots)
-            parts = gap(d, pivot, lo, hi) * (1 - SLACK)
             near = gap(d, pivot, lo, hi) + (pivot[None] != d.argmin(1)[:, None]) * 1e12
-            norm = (q * q).sum(1)
-            may = (norm[:, None] + top - parts**2) / 2 + SLACK * (norm[:, None] + top) + 1 >= kth[:, None]
+            may = best_possible(gap(d, pivot, lo, hi), (q * q).sum(1)) >= kth[:, None].astype(np.float64)
             may &= shard[None] != shard[near.argmin(1)][:, None]
             pair = np.unique(np.nonzero(may)[0] * (int(shard.max()) + 1) + shard[np.nonzero(may)[1]])
             row, to = pair // (int(shard.max()) + 1), pair % (int(shard.max()) + 1)
             if len(row):
-                yield from blocks(batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), to, kth[row], None)
+                yield from blocks(batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), to, kth[row])
 
     second = search(asked.join(bound, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", "kth").mapInArrow(away, block_ddl))
     # a query's partial lists meet: at most k from each shard that it visits

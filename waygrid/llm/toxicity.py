@@ -8,7 +8,8 @@ training rows by a hash of their id):
 2. a token of a toxic row with a feature of STRONG log-odds is a labelled toxic
    token, every other token is a labelled clean one;
 3. a two-state CRF over the tokens' features is fitted by gradient ascent on the
-   exact likelihood (forward-backward);
+   exact likelihood (forward-backward) of FIT_ROWS rows of each kind, whole: a text is
+   cut into pieces of FIT_TOKENS tokens, and equal pieces count once, with a weight;
 4. a logistic curve turns the document's evidence into the probability of its label.
 
 Scoring runs over whole texts. Tokens without a lexicon feature share one potential,
@@ -33,13 +34,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, session, text_or_empty
+from .common import cut, map_rows, session, text_or_empty
 
 POSITIVES, NEGATIVES = 4000, 8000
 LEXICON, LEAST_DOCS, LEAST_ODDS, STRONG = 3000, 4, 2.0, 2.5
 PREFIXES = (4, 5, 6, 7)
-#: Of the sample, the field is fitted on this many rows of each kind with at most FIT_TOKENS tokens.
-FIT_ROWS, FIT_TOKENS, STEPS = 500, 400, 40
+#: Of the sample, the field's weights are fitted on this many rows of each kind, in pieces of this many tokens.
+FIT_ROWS, FIT_TOKENS, STEPS = 500, 200, 40
 SPAN = 0.5
 CACHE = 600_000
 JUNK = re.compile(r"[\W_]+")
@@ -156,30 +157,38 @@ def fit(odds: dict[str, float], rows: pd.DataFrame) -> Field:
     """rows: toxic, n (tokens), places and numbers of the tokens with features."""
     field = Field(odds)
     strong = {i for f, i in field.number.items() if odds[f] >= STRONG}
-    short = rows[rows.n.between(1, FIT_TOKENS)]
-    use = pd.concat([short[short.toxic == k].head(FIT_ROWS) for k in (1, 0)])
-    n_docs, longest = len(use), int(use.n.max()) if len(use) else 0
+    pieces: dict[tuple, int] = {}
+    for r in pd.concat([rows[(rows.toxic == k) & (rows.n > 0)].head(FIT_ROWS) for k in (1, 0)]).itertuples():
+        parts: dict[int, list] = {}
+        for p, f in zip(r.places, r.found, strict=True):
+            parts.setdefault(p // FIT_TOKENS, []).append((p % FIT_TOKENS, f, r.toxic == 1 and any(i in strong for i in f)))
+        for k in range(-(-r.n // FIT_TOKENS)):
+            piece = (min(FIT_TOKENS, r.n - k * FIT_TOKENS), tuple(parts.get(k, ())))
+            pieces[piece] = pieces.get(piece, 0) + 1
+    n_docs, longest = len(pieces), max((n for n, _ in pieces), default=0)
     if not n_docs:
         return field
     sets, index = [()], {(): 0}
     token = np.zeros((longest, n_docs), np.int64)
     gold = np.zeros((longest, n_docs))
-    for j, r in enumerate(use.itertuples()):
-        for p, f in zip(r.places, r.found, strict=True):
+    for j, (_, hits) in enumerate(pieces):
+        for p, f, bad in hits:
             if f not in index:
                 index[f] = len(sets)
                 sets.append(f)
             token[p, j] = index[f]
-            gold[p, j] = r.toxic == 1 and any(i in strong for i in f)
-    alive = np.arange(longest)[:, None] < use.n.to_numpy()[None, :]
+            gold[p, j] = bad
+    weight = np.array(list(pieces.values()), float)
+    alive = np.arange(longest)[:, None] < np.array([n for n, _ in pieces])[None, :]
+    times = np.broadcast_to(weight, alive.shape)[alive]
     has = np.zeros((len(sets), len(field.weights)))
     has[:, 0] = 1
     for i, f in enumerate(sets):
         has[i, list(f)] = 1
-    seen = np.bincount(token[alive], gold[alive], len(sets)) @ has
+    seen = np.bincount(token[alive], gold[alive] * times, len(sets)) @ has
     pairs = alive[1:]
     g0, g1 = gold[:-1][pairs].astype(int), gold[1:][pairs].astype(int)
-    moved = np.bincount(g0 * 2 + g1, minlength=4).reshape(2, 2)
+    moved = np.bincount(g0 * 2 + g1, np.broadcast_to(weight, pairs.shape)[pairs], minlength=4).reshape(2, 2)
     step_w, step_m = np.zeros_like(field.weights), np.zeros((2, 2))
     for _ in range(STEPS):
         emit = np.exp(np.clip(has @ field.weights, -30, 30))[token]
@@ -198,13 +207,13 @@ def fit(odds: dict[str, float], rows: pd.DataFrame) -> Field:
             on = alive[t + 1]
             both = forward[t][:, :, None] * move[None] * right[:, None, :]
             both = both / both.sum((1, 2), keepdims=True)
-            expected += both[on].sum(0)
+            expected += (both[on] * weight[on][:, None, None]).sum(0)
             b = np.where(on[:, None], right @ move.T, b)
             b = b / b.max(1, keepdims=True)
             backward[t] = b
         p = forward * backward
         p = (p / p.sum(2, keepdims=True))[:, :, 1]
-        grad_w = seen - np.bincount(token[alive], p[alive], len(sets)) @ has - 0.02 * field.weights
+        grad_w = seen - np.bincount(token[alive], p[alive] * times, len(sets)) @ has - 0.02 * field.weights
         grad_m = moved - expected - 0.02 * field.moves
         # steps scaled by the running square of the gradient
         step_w, step_m = step_w + grad_w**2, step_m + grad_m**2
@@ -243,7 +252,7 @@ class Found:
 
 
 def train_field(rows: DataFrame, labels: DataFrame, train: Column) -> Field:
-    picked = sample(rows, labels, train)
+    picked = cut(sample(rows, labels, train))
     odds, (pos, neg) = lexicon(picked)
     if not odds:
         return Field({})
