@@ -43,12 +43,25 @@ def cut(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     out = df.checkpoint(eager=True)
-    # Spark drops the shuffles of finished phases when the driver's garbage is collected, which may be long after
-    gc.collect()
-    sc._jvm.System.gc()
+    release(df.sparkSession)
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Spark drops the shuffles of finished phases when the driver's garbage is collected, which may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a result of cut that nothing reads any more."""
+    sc = df.sparkSession.sparkContext
+    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = sc._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster shares; without a cluster, where none is named, one of this machine."""
     sc = spark.sparkContext

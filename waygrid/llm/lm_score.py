@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, cut, pack, session, stored_bytes, text_or_empty
+from .common import arrow_schema, cut, discard, pack, release, session, stored_bytes, text_or_empty
 from .winnow import join, mix
 from .words import WordHashes
 
@@ -44,15 +44,17 @@ END, START = np.uint64(0x5EED), np.uint64(0x57A7)
 BATCH, BUCKET = 1 << 21, 16 << 20
 #: Of a hash, the bits that are kept.
 KEPT = np.uint64((1 << 56) - 1)
+#: Of a bigram's hash, the bits by which a bucket, whose size is bounded, knows its arcs.
+KEY = np.uint64((1 << 48) - 1)
 COUNT = np.dtype([("h", "<u8"), ("c", "<u4")])
 TOTAL = np.dtype([("h", "<u8"), ("c", "<u8")])
 ASK = np.dtype([("h", "<u8"), ("row", "<u4"), ("n", "<u4")])
 TELL = np.dtype([("row", "<u4"), ("known", "<u4"), ("base", "<f8"), ("more", "<f8")])
 GAIN = np.dtype([("row", "<u4"), ("more", "<f8")])
 PAIR = np.dtype([("a", "<u8"), ("w", "<u8"), ("c", "<u4")])
-PAIR_ASK = np.dtype([("h", "<u8"), ("row", "<u4")])
+PAIR_ASK = np.dtype([("key", "<u8"), ("row", "<u4")])
 #: A bigram's arc less what its context, if frequent (number), takes off.
-ARC = np.dtype([("h", "<u8"), ("number", "<i4"), ("gain", "<f8")])
+ARC = np.dtype([("key", "<u8"), ("number", "<i4"), ("gain", "<f8")])
 FAIL = np.dtype([("h", "<u8"), ("fail", "<f8")])
 SUMS = np.dtype([("number", "<u4"), ("held", "<f8"), ("below", "<f8")])
 #: Rows of the model: what the blob holds.
@@ -132,8 +134,8 @@ class Automaton:
         self.taken = self.fail + np.append(np.log10(np.maximum(self.counts, 1)), 0.0)
 
     def add(self, arcs: np.ndarray) -> None:
-        arcs = arcs[np.argsort(arcs["h"])]
-        self.keys, self.arcs = arcs["h"].copy(), arcs["gain"] - self.taken[arcs["number"]]
+        arcs = arcs[np.argsort(arcs["key"])]
+        self.keys, self.arcs = arcs["key"].copy(), arcs["gain"] - self.taken[arcs["number"]]
 
 
 def backoff(held: np.ndarray, below: np.ndarray) -> np.ndarray:
@@ -168,23 +170,23 @@ def gathered(rows: DataFrame, slots: int) -> DataFrame:
     return rows.select("body").mapInArrow(run, "slot int,blob binary")
 
 
-def seven(h: np.ndarray) -> bytes:
-    return np.ascontiguousarray(np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
+def short(h: np.ndarray, wide: int = 7) -> bytes:
+    return np.ascontiguousarray(np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :wide]).tobytes()
 
 
-def from_seven(blob: bytes, n: int, place: int) -> np.ndarray:
+def from_short(blob: bytes, n: int, place: int, wide: int = 7) -> np.ndarray:
     out = np.zeros((n, 8), np.uint8)
-    out[:, :7] = np.frombuffer(blob, np.uint8, 7 * n, place).reshape(-1, 7)
+    out[:, :wide] = np.frombuffer(blob, np.uint8, wide * n, place).reshape(-1, wide)
     return out.view(np.uint64)[:, 0]
 
 
 def widths(dtype: np.dtype) -> list[int]:
-    return [7 if dtype[f] == np.uint64 else dtype[f].itemsize for f in dtype.names]
+    return [6 if f == "key" else 7 if dtype[f] == np.uint64 else dtype[f].itemsize for f in dtype.names]
 
 
 def columns(records: np.ndarray) -> bytes:
-    """The fields one after another, which shuffles compress better than records; hashes in seven bytes."""
-    return b"".join(seven(records[f]) if records.dtype[f] == np.uint64 else np.ascontiguousarray(records[f]).tobytes() for f in records.dtype.names)
+    """The fields one after another, which shuffles compress better than records; hashes without their empty bytes."""
+    return b"".join(short(records[f], k) if records.dtype[f] == np.uint64 else np.ascontiguousarray(records[f]).tobytes() for f, k in zip(records.dtype.names, widths(records.dtype), strict=True))
 
 
 def from_columns(blobs: list[bytes], dtype: np.dtype) -> np.ndarray:
@@ -193,7 +195,7 @@ def from_columns(blobs: list[bytes], dtype: np.dtype) -> np.ndarray:
     for blob in blobs:
         n, place = len(blob) // sum(wide), 0
         for f, k in zip(dtype.names, wide, strict=True):
-            out[f][at : at + n] = from_seven(blob, n, place) if dtype[f] == np.uint64 else np.frombuffer(blob, dtype[f], n, place)
+            out[f][at : at + n] = from_short(blob, n, place, k) if dtype[f] == np.uint64 else np.frombuffer(blob, dtype[f], n, place)
             place += n * k
         at += n
     return out
@@ -204,7 +206,7 @@ def by_context(pairs: np.ndarray) -> bytes:
     pairs = pairs[np.argsort(pairs["a"], kind="stable")]
     starts = np.flatnonzero(np.r_[True, pairs["a"][1:] != pairs["a"][:-1]])
     sizes = np.diff(np.r_[starts, len(pairs)]).astype("<u4")
-    return np.uint32(len(starts)).tobytes() + seven(pairs["a"][starts]) + sizes.tobytes() + seven(pairs["w"]) + pairs["c"].tobytes()
+    return np.uint32(len(starts)).tobytes() + short(pairs["a"][starts]) + sizes.tobytes() + short(pairs["w"]) + pairs["c"].tobytes()
 
 
 def from_contexts(blobs: list[bytes]) -> np.ndarray:
@@ -214,7 +216,7 @@ def from_contexts(blobs: list[bytes]) -> np.ndarray:
         sizes = np.frombuffer(blob, "<u4", k, 4 + 7 * k)
         n, at = int(sizes.sum()), 4 + 11 * k
         part = np.empty(n, PAIR)
-        part["a"], part["w"], part["c"] = np.repeat(from_seven(blob, k, 4), sizes), from_seven(blob, n, at), np.frombuffer(blob, "<u4", n, at + 7 * n)
+        part["a"], part["w"], part["c"] = np.repeat(from_short(blob, k, 4), sizes), from_short(blob, n, at), np.frombuffer(blob, "<u4", n, at + 7 * n)
         parts.append(part)
     return np.concatenate(parts) if parts else np.empty(0, PAIR)
 
@@ -303,7 +305,7 @@ def arcs_of(pairs: DataFrame, counts: DataFrame, shared, hot: float) -> DataFram
             context, c = count(a, got["a"]), got["c"] - DISCOUNT
             log1 = model.base(count(w, got["w"]))
             arc = np.empty(len(got), ARC)
-            arc["h"], arc["number"], arc["gain"] = pair_hash(got["a"], got["w"]), a, np.log10(c) - log1
+            arc["key"], arc["number"], arc["gain"] = pair_hash(got["a"], got["w"]) & KEY, a, np.log10(c) - log1
             rare = a < 0
             if rare.any():
                 h, which = np.unique(got["a"][rare], return_inverse=True)
@@ -317,9 +319,9 @@ def arcs_of(pairs: DataFrame, counts: DataFrame, shared, hot: float) -> DataFram
                 part["number"], part["held"], part["below"] = number, np.bincount(which, c[~rare] / context[~rare]), np.bincount(which, 10.0 ** log1[~rare])
                 out.append((PARTS, part))
             often = got["c"] > hot
-            out += [(ARCS, np.sort(arc[~often], order="h")), (HOT, arc[often])]
+            out += [(ARCS, arc[~often]), (HOT, arc[often])]
         slot = left.column("slot")[0].as_py() if left.num_rows else 0
-        return pa.table({"slot": pa.array([slot] * len(out), pa.int32()), "what": pa.array([k for k, _ in out], pa.int32()), "blob": pa.array([x.tobytes() for _, x in out], pa.binary())})
+        return pa.table({"slot": pa.array([slot] * len(out), pa.int32()), "what": pa.array([k for k, _ in out], pa.int32()), "blob": pa.array([columns(x) if k in (ARCS, HOT) else x.tobytes() for k, x in out], pa.binary())})
 
     return pairs.groupBy("slot").cogroup(counts.groupBy("slot")).applyInArrow(run, "slot int,what int,blob binary")
 
@@ -409,14 +411,14 @@ def scored(rows: DataFrame, shared, slots: int) -> DataFrame:
             base = np.bincount(doc[has], model.log1[number[has]], n) if has.any() else np.zeros(n)
             context = contexts_of(h, ends)
             key = pair_hash(context, h)
-            at = found(model.keys, key)
+            at = found(model.keys, key & KEY)
             gain = model.fail[model.numbers(context)]
             gain[at >= 0] += model.arcs[at[at >= 0]]
             beyond = np.bincount(doc, gain, n)
             other = np.flatnonzero(at < 0)
             if len(other):
                 out = np.empty(len(other), PAIR_ASK)
-                out["h"], out["row"] = key[other], row + doc[other]
+                out["key"], out["row"] = key[other] & KEY, row + doc[other]
                 wanted.append((out, model.slots(context[other], h[other], key[other], slots)))
                 waiting += len(out)
                 if waiting >= BATCH // 2:
@@ -455,13 +457,14 @@ def answered(sent: DataFrame, have: DataFrame, shared) -> DataFrame:
             return left.select([f.name for f in schema])
         model, what, held = shared.value, right.column("what").to_pylist(), right.column("blob").to_pylist()
         of = lambda k, dtype: np.sort(np.frombuffer(b"".join([b for b, w in zip(held, what, strict=True) if w == k]), dtype), order="h")
-        words, fails, arcs = of(WORDS, TOTAL), of(FAILS, FAIL), of(ARCS, ARC)
+        words, fails = of(WORDS, TOTAL), of(FAILS, FAIL)
+        arcs = np.sort(from_columns([b for b, w in zip(held, what, strict=True) if w == ARCS], ARC), order="key")
         gains = arcs["gain"] - model.taken[arcs["number"]]
 
         def sums(blobs):
             if kind == 2:
                 got = from_columns(blobs, PAIR_ASK)
-                at = found(arcs["h"], got["h"])
+                at = found(arcs["key"], got["key"])
                 hit = at >= 0
                 row, which = np.unique(got["row"][hit], return_inverse=True)
                 out = np.empty(len(row), GAIN)
@@ -532,7 +535,10 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     known = counted.select("slot", "blob").unionByName(rare_words(pairs, counted, shared, slots))
     learnt = cut(arcs_of(pairs, known, shared, SHARE * total))
     model.back_off(*frequent_sums(learnt, len(model.words), slots))
-    model.add(np.frombuffer(b"".join(r.blob for r in learnt.where(F.col("what") == HOT).select("blob").collect()), ARC))
+    model.add(from_columns([r.blob for r in learnt.where(F.col("what") == HOT).select("blob").collect()], ARC))
+    discard(pairs)
+    del pairs, known
+    release(spark)
     whole = spark.sparkContext.broadcast(model)
     have = counted.select(F.lit(0).alias("kind"), "slot", F.lit(WORDS).alias("what"), "blob").unionByName(
         learnt.where(F.col("what").isin(ARCS, FAILS)).select(F.when(F.col("what") == ARCS, 2).otherwise(0).alias("kind"), "slot", "what", "blob")
