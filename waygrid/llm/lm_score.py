@@ -421,7 +421,7 @@ def scored(rows: DataFrame, shared, slots: int) -> DataFrame:
                 out["key"], out["row"] = key[other] & KEY, row + doc[other]
                 wanted.append((out, model.slots(context[other], h[other], key[other], slots)))
                 waiting += len(out)
-                if waiting >= BATCH // 2:
+                if waiting >= BATCH // 4:
                     yield send_pairs()
                     wanted, waiting = [], 0
             yield table(1, n, slot=[(chunk * 31 + row // 64) % slots] * n, doc_id=batch.column(0), held_out=batch.column(1), n_tokens=np.diff(np.r_[0, ends]), known=np.bincount(doc[has], minlength=n), base=base, score=beyond, blob=[(row + i).to_bytes(4, "little") for i in range(n)])

@@ -8,7 +8,7 @@ import xxhash
 from .winnow import join, mix
 
 #: Words whose hashes one worker keeps.
-CACHE = 500_000
+CACHE = 300_000
 
 
 class WordHashes:
