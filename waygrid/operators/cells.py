@@ -116,3 +116,34 @@ def surge(demand: DataFrame, supply: DataFrame, rings: int, decay: float, balanc
     ratio = F.col("d") / F.greatest(F.col("s"), F.lit(least_supply))
     raw = F.round((1 + sensitivity * (ratio / balance - 1)) / step) * step
     return rows.select("cell", ratio.alias("ratio"), F.least(F.lit(high), F.greatest(F.lit(low), raw)).alias("multiplier"))
+
+
+def ring(cell: Column, k: int) -> Column:
+    """The cells exactly k steps away."""
+    around = [(dx, dy) for dx in range(-k, k + 1) for dy in range(-k, k + 1) if max(abs(dx), abs(dy)) == k]
+    return F.array(*[pack(x_of(cell) + dx, y_of(cell) + dy) for dx, dy in around])
+
+
+def uncompact(members: DataFrame, res: int) -> DataFrame:
+    """(cell) of one resolution: members (resolution, cell), the coarser ones by their descendants."""
+    step = lambda i, c: F.shiftleft(c, i)
+    out = None
+    for up in range(res + 1):
+        at = members.where(F.col("resolution") == res - up)
+        width = 1 << up
+        wide = at.withColumn("dx", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))).withColumn("dy", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+        part = wide.select(pack(step(up, x_of(F.col("cell"))) + F.col("dx"), step(up, y_of(F.col("cell"))) + F.col("dy")).alias("cell"))
+        out = part if out is None else out.unionByName(part)
+    return out.distinct()
+
+
+def cover(boxes: DataFrame, res: int, limit: int) -> DataFrame:
+    """boxes (min_lon, min_lat, max_lon, max_lat) with each cell whose centre is inside; more than limit for a box is an error."""
+    size = BASE / (1 << res)
+    low = lambda c: F.ceil(F.col(c) / size - 0.5)
+    high = lambda c: F.floor(F.col(c) / size - 0.5)
+    rows = boxes.withColumns({"x0": low("min_lon"), "x1": high("max_lon"), "y0": low("min_lat"), "y1": high("max_lat")}).where("x1 >= x0 and y1 >= y0")
+    n = (F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1)
+    rows = rows.withColumn("x0", F.when(n > limit, F.raise_error(F.lit(f"more than {limit} cells"))).otherwise(F.col("x0")))
+    rows = rows.withColumn("x", F.explode(F.sequence("x0", "x1"))).withColumn("y", F.explode(F.sequence("y0", "y1")))
+    return rows.withColumn("cell", pack(F.col("x"), F.col("y"))).drop("x0", "x1", "y0", "y1", "x", "y")
