@@ -73,7 +73,7 @@ def geopackage(spark: SparkSession, path: str, layer: str, columns: str) -> Data
 
 def ascii_grid(spark: SparkSession, path: str) -> DataFrame:
     """(lon, lat, height, size) of the cells of an ESRI ASCII grid, by their centres; cells without data are left out."""
-    text = spark.read.text(path, wholetext=True).select(F.filter(F.transform(F.split("value", r"[\r\n]+"), F.trim), lambda x: x != "").alias("line"))
+    text = spark.read.text(path, wholetext=True).select(F.filter(F.transform(F.split("value", r"[\r\n]+"), lambda x: F.trim(x)), lambda x: x != "").alias("line"))
     header = F.map_from_entries(F.transform(F.filter("line", lambda x: F.regexp_like(x, F.lit("^[A-Za-z]"))), lambda x: F.struct(F.lower(F.split(x, r"\s+")[0]), F.split(x, r"\s+")[1].cast("double"))))
     body = text.select(header.alias("h"), F.posexplode(F.filter("line", lambda x: ~F.regexp_like(x, F.lit("^[A-Za-z]")))).alias("y", "row"))
     cells = body.select("h", "y", F.posexplode(F.split("row", r"\s+")).alias("x", "v")).withColumn("height", F.col("v").cast("double"))
