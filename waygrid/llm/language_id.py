@@ -22,7 +22,6 @@ null ids are kept and count as the empty string where ids are hashed.
 from __future__ import annotations
 
 import re
-import sys
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +37,7 @@ SHARE, PENALTY, SMOOTH = 0.01, 10.0, 0.5
 CACHE, TOKENS = 300_000, 1 << 21
 #: Groups of tasks whose counts are summed first.
 FEW = 256
-#: Letters are what Unicode calls so (category L); \\w also takes other numerals than digits.
-NUMERALS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
+ALNUM = re.compile(r"[^\W\d_]+")
 #: First code points of script ranges, in order; each range ends where the next begins.
 RANGES = [
     (0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"),
@@ -53,6 +50,14 @@ STARTS = np.array([a for a, _ in RANGES])
 SCRIPT_OF = np.array([SCRIPTS.index(s) for _, s in RANGES])
 
 
+def letters_of(text: str) -> list[str]:
+    """The runs of letters (Unicode category L) of a text; the pattern alone also takes other numerals than digits."""
+    words = ALNUM.findall(text)
+    if all(map(str.isalpha, words)):
+        return words
+    return [w for run in words for w in (run if run.isalpha() else "".join(c if c.isalpha() else " " for c in run)).split()]
+
+
 def scripts(words: list[str]) -> np.ndarray:
     """The script of each word's first letter."""
     return SCRIPT_OF[np.searchsorted(STARTS, [ord(w[0]) for w in words], "right") - 1]
@@ -91,7 +96,7 @@ def learn(rows: DataFrame, train: Column) -> tuple[list[str], np.ndarray, np.nda
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 texts.setdefault(lang, []).append(text)
             for lang, some in texts.items():
-                words = LETTERS.findall(" ".join(some).lower())
+                words = letters_of(" ".join(some).lower())
                 if words:
                     total = held.setdefault(lang, np.zeros(width, np.int64))
                     total[:FEATURES] += np.bincount(grams(" ".join(words).encode())[0], minlength=FEATURES)
@@ -129,7 +134,7 @@ class WordScores:
 
     def place(self, fresh: list[str]) -> None:
         """Gives the words numbers and scores."""
-        parts = [LETTERS.findall(w) for w in fresh]
+        parts = [letters_of(w) for w in fresh]
         scores, letters = np.zeros((len(fresh), self.log.shape[1]), np.float32), np.array([sum(map(len, p)) for p in parts])
         flat = [(i, w) for i, p in enumerate(parts) for w in p]
         if flat:
