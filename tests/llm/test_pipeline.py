@@ -48,7 +48,7 @@ def test_toxicity_drops_and_keeps(steps):
 def test_one_of_each_class_stays(steps):
     before, after = steps[1]
     rows = pairs(before)
-    component = {(d, c) for d, n, c in classes(rows, 5, 80) if n and d != "None"}
+    component = {(d, c) for d, n, c, _ in classes(rows, 5, 80) if n and d != "None"}
     kept = [str(i) for i, t in pairs(after) if i is not None and t.split()]
     assert sorted(kept) == sorted({c for _, c in component})
     assert sum(not (t or "").split() for _, t in pairs(after)) == sum(not (t or "").split() for _, t in rows)
