@@ -151,8 +151,8 @@ def diagnose(pairs: DataFrame, snapped: DataFrame, costs: DataFrame) -> DataFram
 
 
 def side_of_segment(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
-    """``left`` or ``right`` of the way from a to b, ``on`` it where the point lies on the line."""
-    cross = (bx - ax) * (py - ay) - (by - ay) * (px - ax)
+    """``left`` or ``right`` of the way from a to b, ``on`` it where the point lies on the line, but for rounding."""
+    cross = F.round((bx - ax) * (py - ay) - (by - ay) * (px - ax), 12)
     return F.when(cross > 0, "left").when(cross < 0, "right").otherwise("on")
 
 

@@ -6,20 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def bucket_metric(edges: DataFrame, speeds: DataFrame, slow_down_only: bool = False) -> DataFrame:
+def bucket_metric(edges: DataFrame, speeds: DataFrame, slow_down_only: bool = False, time_weight: float = 1.0) -> DataFrame:
     """edges (edge_id, length_m, time_s, cost) with time and cost under speeds (edge_id, speed_kph):
-    phi = speed / profile speed, time' = time / phi, cost' = max(0, cost + time' - time)."""
+    phi = speed / profile speed, time' = time / phi, cost' = max(0, cost + time_weight * (time' - time))."""
     rows = edges.join(speeds, "edge_id", "left")
     phi = F.col("speed_kph") / 3.6 * F.col("time_s") / F.col("length_m")
     phi = F.when((F.col("speed_kph") > 0) & (F.col("length_m") > 0) & (F.col("road_class") != "ferry"), F.least(phi, F.lit(1.0)) if slow_down_only else phi).otherwise(1.0)
     time = F.col("time_s") / phi
-    return rows.select("edge_id", time.alias("time_s"), F.greatest(F.lit(0.0), F.col("cost") + time - F.col("time_s")).alias("cost"))
+    return rows.select("edge_id", time.alias("time_s"), F.greatest(F.lit(0.0), F.col("cost") + time_weight * (time - F.col("time_s"))).alias("cost"))
 
 
 def bucket_classes(speeds: DataFrame) -> DataFrame:
-    """(bucket, representative): buckets whose columns of (key, speed) are equal share the smallest of them."""
-    column = speeds.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("key", "speed"))).alias("column"))
-    return column.select("bucket", F.min("bucket").over(Window.partitionBy("column")).alias("representative"))
+    """(bucket, representative): buckets whose columns of (key, speed) are equal share the smallest of them.
+
+    A column, which is as long as the network, is known by its count and two order-free sums of 64-bit hashes.
+    """
+    mark = F.xxhash64("key", "speed")
+    # the sum of the hashes' halves can't overflow
+    marks = [F.count(F.lit(1)), F.bit_xor(mark), F.sum(F.shiftrightunsigned(mark, 32)), F.sum(F.xxhash64("speed", "key").bitwiseAND(F.lit(0xFFFFFFFF)))]
+    column = speeds.groupBy("bucket").agg(*[m.alias(f"mark{i}") for i, m in enumerate(marks)])
+    return column.select("bucket", F.min("bucket").over(Window.partitionBy(*[f"mark{i}" for i in range(4)])).alias("representative"))
 
 
 def expiry(ts: Column, ttl_s: Column) -> Column:

@@ -391,7 +391,7 @@ def net185_unreachable(spark, sf_dir):
 
 @query(
     NEAR + f""", c AS (SELECT point_id, edge_id, p.lon AS px, p.lat AS py, a.lon AS ax, a.lat AS ay, b.lon AS bx, b.lat AS by_, p.point_id % 360.0 AS wanted, a.z FROM d JOIN edges ON from_node = d.node_id JOIN p USING (point_id) JOIN nodes a ON a.node_id = from_node JOIN nodes b ON b.node_id = to_node WHERE m <= 5000),
-    h AS (SELECT *, (bx - ax) * (py - ay) - (by_ - ay) * (px - ax) AS cross_, (degrees(atan2(sin(radians(bx - ax)) * cos(radians(by_)), cos(radians(ay)) * sin(radians(by_)) - sin(radians(ay)) * cos(radians(by_)) * cos(radians(bx - ax)))) + 360) % 360 AS heading FROM c)
+    h AS (SELECT *, round((bx - ax) * (py - ay) - (by_ - ay) * (px - ax), 12) AS cross_, (degrees(atan2(radians(bx - ax) * cos(radians(ay)), radians(by_ - ay))) + 360) % 360 AS heading FROM c)
     SELECT point_id, edge_id FROM h WHERE abs(((heading - wanted + 180 + 720) % 360) - 180) <= 60 AND (point_id % 2 = 0 OR cross_ <= 0) AND (point_id % 3 = 0 OR abs(20 - z) <= 15)"""
 )
 def net084_snap_constraints(spark, sf_dir):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pandas as pd
@@ -10,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.graph import shared_folder
+
 
 def read_stream(spark: SparkSession, folder: str, like: DataFrame, pattern: str = "*.parquet") -> DataFrame:
     return spark.readStream.schema(like.schema).option("pathGlobFilter", pattern).parquet(folder)
@@ -57,10 +58,18 @@ def live_state(updates: DataFrame, ts: str = "ts") -> DataFrame:
 
 
 def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """What the stream has sent when all present input is done: for tests and batch catch-up; it returns a table of the session."""
+    """What the stream has sent when all present input is done, for batch catch-up: written to the shared folder batch by
+    batch, and read back (the last batch in mode ``complete``, else all)."""
     spark = stream.sparkSession
-    name = f"drained_{uuid.uuid4().hex}"
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="waygrid-")
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{shared}/{name}").trigger(availableNow=True).start()
+    folder = f"{shared_folder(spark)}/drained_{uuid.uuid4().hex}"
+    sent: list[int] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        # a batch that is tried again replaces what it had written
+        batch.write.mode("overwrite").parquet(f"{folder}/batch-{number}")
+        sent.append(number)
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    use = sorted(set(sent))[-1:] if mode == "complete" else sorted(set(sent))
+    return spark.read.schema(stream.schema).parquet(*[f"{folder}/batch-{n}" for n in use]) if use else spark.createDataFrame([], stream.schema)
