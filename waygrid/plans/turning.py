@@ -1,13 +1,14 @@
-"""Queries on searches with turn costs, restrictions and points on edges, and their SQL."""
+"""Queries on searches with turn costs, restrictions and points on edges, and on timetables by rounds, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import joins, turns
-from ..sources.synth import edges, nodes
+from ..operators import joins, rounds, transit, turns
+from ..sources.synth import edges, nodes, table
 from .network import NET, car
 from .registry import query
+from .tables import CONNS, STOPS, stop_times
 
 #: Turns cost by the two edges' numbers, and some are forbidden.
 STATES = """, pr AS (SELECT a.edge_id AS p, b.edge_id AS n, b.cost + 1.5 * CAST((a.edge_id + b.edge_id) % 3 * 4 AS DOUBLE) AS w FROM car a JOIN car b ON a.to_node = b.from_node WHERE a.cost IS NOT NULL AND b.cost IS NOT NULL AND (a.edge_id * 7 + b.edge_id) % 11 <> 0),
@@ -49,3 +50,50 @@ def net190_point_costs(spark, sf_dir):
     origins = e.where("edge_id % 500 = 0").select(k.alias("origin"), "edge_id", (k % 7 / 7.0).alias("fraction"))
     destinations = e.where("edge_id % 250 = 0").select(k.alias("destination"), "edge_id", (k % 6 / 6.0).alias("fraction"))
     return turns.point_costs(e, turning(spark, sf_dir), origins, destinations, 1.5).withColumn("cost", F.round("cost", 5))
+
+
+# --- timetables by rounds ---
+
+WALKS = "SELECT s_suppkey AS from_stop, (s_suppkey * 3 + 1) % (SELECT count(*) FROM supplier) AS to_stop, 60 + s_suppkey % 240 AS seconds FROM supplier"
+
+
+def rounds_sql(conns: str, walks: str, requests: str, boardings: int, slack: int, wait: int) -> str:
+    """The rounds one after another."""
+    parts = [f"c AS ({conns})", f"w AS ({walks})", f"q AS ({requests})"]
+    walked = "SELECT request, stop, min(arrival) AS arrival FROM (SELECT request, stop, arrival FROM {0} UNION ALL SELECT request, to_stop, arrival + seconds FROM {0} JOIN w ON stop = from_stop) GROUP BY 1, 2"
+    parts.append("r0 AS (" + walked.format("q") + ")")
+    for i in range(boardings):
+        parts.append(f"b{i} AS (SELECT request, trip, min(seq) AS first FROM r{i} JOIN c ON stop = from_stop AND departure BETWEEN r{i}.arrival + {slack} AND r{i}.arrival + {slack + wait} GROUP BY 1, 2)")
+        parts.append(f"d{i} AS (SELECT request, to_stop AS stop, min(arrival) AS arrival FROM b{i} JOIN c ON c.trip = b{i}.trip AND seq >= first GROUP BY 1, 2)")
+        parts.append(f"k{i} AS ({walked.format(f'd{i}')})")
+        parts.append(f"r{i + 1} AS (SELECT request, stop, min(arrival) AS arrival FROM (SELECT * FROM r{i} UNION ALL SELECT * FROM k{i}) GROUP BY 1, 2)")
+    return ", ".join(parts)
+
+
+def timetable(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    n = s.agg(F.count(F.lit(1)).alias("n"))
+    k = F.col("s_suppkey")
+    walks = s.join(n).select(k.alias("from_stop"), ((k * 3 + 1) % F.col("n")).alias("to_stop"), (60 + k % 240).alias("seconds"))
+    asked = s.select(k.alias("request"), k.alias("stop"), (9000 + k * 31 % 3000).alias("departure"), (14000 + k * 31 % 3000).alias("arrive"))
+    return transit.connections(stop_times(spark, sf_dir)).where("to_stop is not null"), walks, asked
+
+
+@query(
+    f"WITH {STOPS}, {CONNS}, "
+    + rounds_sql("SELECT trip, seq, from_stop, to_stop, departure, arrival FROM cn WHERE to_stop IS NOT NULL", WALKS, "SELECT s_suppkey AS request, s_suppkey AS stop, 9000 + s_suppkey * 31 % 3000 AS arrival FROM supplier", 2, 30, 900)
+    + " SELECT request, stop, arrival FROM r2"
+)
+def net230_rounds(spark, sf_dir):
+    conns, walks, asked = timetable(spark, sf_dir)
+    return rounds.earliest(conns, walks, asked, 2, 30, 900)
+
+
+@query(
+    f"WITH {STOPS}, {CONNS}, "
+    + rounds_sql("SELECT trip, -seq AS seq, to_stop AS from_stop, from_stop AS to_stop, -arrival AS departure, -departure AS arrival FROM cn WHERE to_stop IS NOT NULL", f"SELECT to_stop AS from_stop, from_stop AS to_stop, seconds FROM ({WALKS})", "SELECT s_suppkey AS request, s_suppkey AS stop, -(14000 + s_suppkey * 31 % 3000) AS arrival FROM supplier", 2, 30, 900)
+    + " SELECT request, stop, -arrival AS departure FROM r2"
+)
+def net231_arrive_by(spark, sf_dir):
+    conns, walks, asked = timetable(spark, sf_dir)
+    return rounds.latest(conns, walks, asked, 2, 30, 900)
