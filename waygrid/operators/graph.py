@@ -81,6 +81,16 @@ class Graph:
         return cost, via
 
 
+_BUILT: list = [None, None]
+
+
+def built(rows) -> Graph:
+    """The graph of a broadcast's rows, built once a worker and kept for its next groups and tasks."""
+    if _BUILT[0] is not rows:
+        _BUILT[:] = rows, Graph(rows)
+    return _BUILT[1]
+
+
 def broadcast_graph(arcs: DataFrame):
     """The graph for executors, or None if it is over KERNEL_EDGES."""
     arcs = arcs.select("u", "v", "w", "edge_id").where("w is not null")
@@ -99,7 +109,7 @@ def trees(arcs: DataFrame, origins: DataFrame, limit: float | None = None) -> Da
     most = float("inf") if limit is None else limit
 
     def run(batches):
-        graph = Graph(shared.value)
+        graph = built(shared.value)
         for batch in batches:
             for origin, node in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 cost, _ = graph.tree(node, most)
@@ -123,7 +133,7 @@ def paths(arcs: DataFrame, pairs: DataFrame) -> DataFrame:
         raise ValueError(f"paths are reconstructed for graphs of at most {KERNEL_EDGES} edges")
 
     def run(batches):
-        graph = Graph(shared.value)
+        graph = built(shared.value)
         for batch in batches:
             by: dict[int, list] = {}
             for pair, s, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -153,8 +163,15 @@ def spans(arcs: DataFrame, reached: DataFrame, limit: float, cut_at_boundary: bo
 
 
 def betweenness(arcs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(edge_id, score, n_pairs): demand of the pairs (pair_id, source, target, demand) over their paths."""
-    return paths(arcs, pairs.where("demand > 0")).join(pairs.select("pair_id", "demand"), "pair_id").groupBy("edge_id").agg(F.sum("demand").alias("score"), F.count(F.lit(1)).alias("n_pairs"))
+    """(edge_id, score, n_pairs, normalized): demand of the pairs (pair_id, source, target, demand) over their paths.
+
+    normalized: the score's share of all demand that found a path; a pair without demand takes no part.
+    """
+    wanted = pairs.where("demand > 0")
+    rows = cut(paths(arcs, wanted).join(wanted.select("pair_id", "demand"), "pair_id"))
+    routed = rows.where("step = 0").agg(F.sum("demand").alias("routed"))  # one row
+    scores = rows.groupBy("edge_id").agg(F.sum("demand").alias("score"), F.count(F.lit(1)).alias("n_pairs"))
+    return scores.join(F.broadcast(routed)).select("edge_id", "score", "n_pairs", (F.col("score") / F.col("routed")).alias("normalized"))
 
 
 def weak_components(edges: DataFrame) -> DataFrame:

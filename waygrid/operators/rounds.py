@@ -51,3 +51,10 @@ def latest(conns: DataFrame, walks: DataFrame, requests: DataFrame, boardings: i
     back = walks.select(F.col("to_stop").alias("from_stop"), F.col("from_stop").alias("to_stop"), "seconds")
     found = earliest(mirrored, back, requests.select("request", "stop", (-F.col("arrive")).alias("departure")), boardings, slack_s, wait_s)
     return found.select("request", "stop", (-F.col("arrival")).alias("departure"))
+
+
+def area(conns: DataFrame, walks: DataFrame, requests: DataFrame, boardings: int, budget_s: int, slack_s: int = 0, wait_s: int = 7200) -> DataFrame:
+    """(request, stop, arrival, elapsed): the stops within budget_s of each request's departure."""
+    found = earliest(conns, walks, requests, boardings, slack_s, wait_s).join(requests.select("request", "departure"), "request")
+    elapsed = F.col("arrival") - F.col("departure")
+    return found.select("request", "stop", "arrival", elapsed.alias("elapsed")).where(F.col("elapsed") <= budget_s)

@@ -33,13 +33,24 @@ def expiry(ts: Column, ttl_s: Column) -> Column:
     return (F.ceil((F.unix_seconds(ts) + ttl_s) / 60) * 60).cast("long")
 
 
-def apply_live(updates: DataFrame, at_s: int) -> DataFrame:
-    """The state at at_s of updates (feature_id, direction, seq, ts, ttl_s, action, speed): the last update of a key by seq
-    counts; cleared and expired keys are gone; direction 0 means both."""
+def held(updates: DataFrame, at_s: int) -> DataFrame:
+    """What is known at at_s of updates (feature_id, direction, seq, ts, ttl_s, action, speed): the last update of a key by seq;
+    direction 0 means both; cleared keys are gone, expired ones still there."""
     both = updates.withColumn("direction", F.explode(F.when(F.col("direction") == 0, F.array(F.lit(-1), F.lit(1))).otherwise(F.array("direction"))))
-    last = both.where(F.unix_seconds("ts") <= at_s).groupBy("feature_id", "direction").agg(F.max_by(F.struct("ts", "ttl_s", "action", "speed"), "seq").alias("u"))
+    last = both.where(F.unix_seconds("ts") <= at_s).groupBy("feature_id", "direction").agg(F.max_by(F.struct("ts", "ttl_s", "action", "speed", "seq"), "seq").alias("u"))
     rows = last.select("feature_id", "direction", "u.action", "u.speed", expiry(F.col("u.ts"), F.col("u.ttl_s")).alias("expires_at"))
-    return rows.where((F.col("action") != "clear") & (F.col("expires_at") > at_s))
+    return rows.where(F.col("action") != "clear")
+
+
+def apply_live(updates: DataFrame, at_s: int) -> DataFrame:
+    """The state at at_s of updates, as ``held``, without expired keys."""
+    return held(updates, at_s).where(F.col("expires_at") > at_s)
+
+
+def status(updates: DataFrame, at_s: int) -> DataFrame:
+    """One row at at_s: version (the last update's seq), entries that are held, and those of them that haven't expired."""
+    rows = held(updates, at_s).agg(F.count(F.lit(1)).alias("entries"), F.count(F.when(F.col("expires_at") > at_s, 1)).alias("active"))
+    return updates.where(F.unix_seconds("ts") <= at_s).agg(F.max("seq").alias("version")).join(rows)
 
 
 def rule_active(local: Column, days: int, start_minute: int, end_minute: int) -> Column:

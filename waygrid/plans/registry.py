@@ -36,4 +36,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["net188_matrix"](spark, sf_dir)
 
 
-from . import kernels, more, network, tables, turning, wide, widest  # noqa: E402, F401  they register their queries
+from . import kernels, more, network, reaching, tables, turning, wide, widest  # noqa: E402, F401  they register their queries

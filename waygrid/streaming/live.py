@@ -22,6 +22,12 @@ def tumbling_bins(stream: DataFrame, ts: str, key: str, value: str, width: str,
     return rows.agg(F.count(F.lit(1)).alias("entered"), F.avg(value).alias("mean")).select(key, F.col("window.start").alias("start"), "entered", "mean")
 
 
+def sliding_counts(stream: DataFrame, ts: str, key: str, width: str, slide: str, late: str) -> DataFrame:
+    """(key, start, end, n): closed windows of that width, one each slide; rows later than the watermark are left out."""
+    rows = stream.withWatermark(ts, late).groupBy(F.window(ts, width, slide), key)
+    return rows.agg(F.count(F.lit(1)).alias("n")).select(key, F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n")
+
+
 def gap_sessions(stream: DataFrame, ts: str, key: str, gap: str, late: str) -> DataFrame:
     rows = stream.withWatermark(ts, late).groupBy(F.session_window(ts, gap), key)
     return rows.agg(F.count(F.lit(1)).alias("n")).select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
