@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import schedules
 from ..operators import graph, reach, rounds, traffic
-from ..sources.synth import nodes, table
+from ..sources.synth import edges, nodes, table
 from ..streaming import live
 from .network import NET, SPANS, arcs, car, starts, tree_sql
 from .registry import query
@@ -190,3 +191,20 @@ def net305_sliding_windows(spark, sf_dir):
     stream = live.read_stream(spark, sf_dir, like, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     rows = live.drain(live.sliding_counts(stream, "ts", "user_id", "2 days", "1 day", "1 hour"), "append")
     return rows.select("user_id", F.date_format("start", "yyyy-MM-dd").alias("day"), "n")
+
+
+# --- conditional tags: texts by edge number, and what they say ---
+
+TAGS = ["no @ (Mo-Fr 07:00-19:00)", "30 @ (22:00-06:00); no @ (weight>7.5)", "no @ (Mo-Fr 07:00-19:00; We 10:00-12:00)", "yes @ (wet)", "broken", "no @ height>3.5 m; no @ (Sa,Su)", "no @ (24/7)"]
+SAID = """(0, 0, 'no', 'time', NULL, 3600), (1, 0, '30', 'time', NULL, 3360), (1, 1, 'no', 'vehicle', 7.5, 0), (2, 0, 'no', 'time', NULL, 3000), (3, 0, 'yes', 'unsupported', NULL, 0), (5, 0, 'no', 'vehicle', 3.5, 0), (5, 1, 'no', 'time', NULL, 2880), (6, 0, 'no', 'time', NULL, 10080)"""
+
+
+@query(f"{NET} SELECT edge_id, pos, value, kind, CAST(above AS DOUBLE) AS above, week_minutes FROM edges JOIN (VALUES {SAID}) v(tag, pos, value, kind, above, week_minutes) ON edge_id % 7 = tag")
+def net061_conditional_tags(spark, sf_dir):
+    """Each distinct text is read once and joined back."""
+    tag = F.element_at(F.array(*map(F.lit, TAGS)), (F.col("edge_id") % 7 + 1).cast("int"))
+    rows = edges(spark, sf_dir).select("edge_id", tag.alias("tag"))
+    read = rows.select("tag").distinct().select("tag", F.posexplode(schedules.conditional("tag")).alias("pos", "e"))
+    span = lambda r: F.bit_count(r["days"].bitwiseAND(F.lit(127))) * F.pmod(r["end_minute"] - r["start_minute"] - 1, F.lit(1440)) + F.bit_count(r["days"].bitwiseAND(F.lit(127)))
+    week = F.aggregate("e.rules", F.lit(0).cast("long"), lambda s, r: s + span(r))
+    return rows.join(read, "tag").select("edge_id", "pos", "e.value", "e.kind", "e.above", week.alias("week_minutes"))
