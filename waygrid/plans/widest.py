@@ -9,7 +9,7 @@ from ..sources.synth import PRELUDE, edges, nodes, table
 from .network import HAVERSINE, NET, car
 from .registry import query
 from .tables import cell_sql
-from .wide import BOXES, Rows
+from .wide import BOXES, Rows, boxes
 
 r6 = lambda c, name: F.round(c, 6).alias(name)
 
@@ -123,9 +123,9 @@ def net116_stop_bindings(spark, sf_dir):
     SELECT area_id, {cell_sql(9, "cx", "(j + 0.5) * 0.03125")} AS cell FROM g WHERE cx BETWEEN x AND x + w AND (j + 0.5) * 0.03125 BETWEEN y AND y + w"""
 )
 def net173_cell_cover(spark, sf_dir):
-    x, y, w = (F.col(c).cast("double") for c in "xyw")
-    boxes = BOXES(spark, sf_dir).select("area_id", x.alias("min_lon"), y.alias("min_lat"), (x + w).alias("max_lon"), (y + w).alias("max_lat"))
-    return cells.cover(boxes, 9, 100_000).select("area_id", "cell")
+    x, y, w = (F.col(c) for c in "xyw")
+    covered = boxes(spark, sf_dir).select("area_id", x.alias("min_lon"), y.alias("min_lat"), (x + w).alias("max_lon"), (y + w).alias("max_lat"))
+    return cells.cover(covered, 9, 100_000).select("area_id", "cell")
 
 
 @query(f"WITH p AS (SELECT p_partkey AS k, CAST(6.0 AS DOUBLE) + p_partkey % 100 / 100.0 AS lon, CAST(53.0 AS DOUBLE) + p_partkey % 90 / 90.0 AS lat FROM part), o AS (SELECT unnest([-2, -1, 0, 1, 2]) AS d) SELECT k, {cell_sql(7, '(lon + a.d * 0.125)', '(lat + b.d * 0.125)')} AS cell FROM p, o a, o b WHERE greatest(abs(a.d), abs(b.d)) = 2")
