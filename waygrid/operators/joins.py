@@ -50,6 +50,30 @@ def within(points: DataFrame, targets: DataFrame, radius_m: float, size: float)
     return rows.where(F.col("distance_m") <= radius_m)
 
 
+def near_segments(points: DataFrame, segments: DataFrame, radius_m: float, size: float) -> DataFrame:
+    """Pairs of points (lon, lat) and straight segments (from_lon, from_lat, to_lon, to_lat) at most radius_m apart, with distance_m.
+
+    A segment, however long, goes to the cells along its course: to each column of the grid that its radius
+    reaches, and there to the rows between the heights that the segment has within the radius of the column.
+    """
+    c = F.col
+    pad_y = F.lit(radius_m / (geo.RADIUS * 3.141592653589793 / 180) + 1e-9)
+    highest = F.greatest(F.abs(c("from_lat")), F.abs(c("to_lat"))) + pad_y
+    b = segments.withColumn("pad_x", pad_y / F.greatest(F.cos(F.radians(F.least(highest, F.lit(90.0)))), F.lit(1e-3)))
+    west, east = F.least("from_lon", "to_lon"), F.greatest("from_lon", "to_lon")
+    b = b.withColumn("cell_x", F.explode(F.sequence(F.floor((west - c("pad_x")) / size), F.floor((east + c("pad_x")) / size))))
+    # the part of the segment between two meridians; a segment along one is whole
+    along = lambda lon: (lon - c("from_lon")) / F.nullif(c("to_lon") - c("from_lon"), F.lit(0.0))
+    low, high = F.greatest(c("cell_x") * size - c("pad_x"), west), F.least((c("cell_x") + 1) * size + c("pad_x"), east)
+    lat = lambda lon, other: F.coalesce(c("from_lat") + (c("to_lat") - c("from_lat")) * along(lon), c(other))
+    one, two = lat(low, "from_lat"), lat(high, "to_lat")
+    south, north = F.floor((F.least(one, two) - pad_y) / size), F.floor((F.greatest(one, two) + pad_y) / size)
+    b = b.withColumn("cell_y", F.explode(F.sequence(south, north))).drop("pad_x")
+    rows = with_cells(points, "lon", "lat", size).join(b, ["cell_x", "cell_y"]).drop("cell_x", "cell_y")
+    _, metres = geo.along_segment(F.lit(0.0), F.lit(0.0), *geo.planar(c("lon"), c("lat"), c("from_lon"), c("from_lat")), *geo.planar(c("lon"), c("lat"), c("to_lon"), c("to_lat")))
+    return rows.withColumn("distance_m", metres).where(F.col("distance_m") <= radius_m)
+
+
 def nearest(pairs: DataFrame, key: str, ties: str, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("distance_m", ties))).where(F.col("rank") <= k)
 
