@@ -74,6 +74,12 @@ def near_segments(points: DataFrame, segments: DataFrame, radius_m: float, size:
     return rows.withColumn("distance_m", metres).where(F.col("distance_m") <= radius_m)
 
 
+def thinned(targets: DataFrame, by: list[str], ties: str, k: int) -> DataFrame:
+    """targets (t_lon, t_lat) without those that k others of their place (and of equal columns by) precede in ties: none of them is among the k nearest of any point."""
+    place = Window.partitionBy("t_lon", "t_lat", *by).orderBy(ties)
+    return targets.withColumn("__n", F.row_number().over(place)).where(F.col("__n") <= k).drop("__n")
+
+
 def nearest(pairs: DataFrame, key: str, ties: str, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("distance_m", ties))).where(F.col("rank") <= k)
 
