@@ -352,7 +352,8 @@ PLACES = "SELECT c_custkey AS point_id, CAST(6.0 AS DOUBLE) + CAST(c_custkey % 6
 def net100_batch_snap(spark, sf_dir):
     k = F.col("c_custkey") % 60
     p = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("point_id"), (F.lit(6.0) + k / F.lit(60.0)).alias("lon"), (F.lit(53.0) + k * 7 % 60 / F.lit(60.0)).alias("lat"))
-    snap = lambda x: joins.nearest(joins.within(x, targets(spark, sf_dir), 8000.0, 0.08), "point_id", "node_id", 1).select("point_id", "node_id", F.round("distance_m", 4).alias("distance_m"), "lon", "lat")
+    few = joins.thinned(targets(spark, sf_dir), [], "node_id", 1)
+    snap = lambda x: joins.nearest(joins.within(x, few, 8000.0, 0.08), "point_id", "node_id", 1).select("point_id", "node_id", F.round("distance_m", 4).alias("distance_m"))
     return relate.once_per_place(p, snap, "point_id")
 
 
@@ -362,17 +363,19 @@ def net100_batch_snap(spark, sf_dir):
     SELECT point_id, edge_id, a, b, CAST(rk AS INTEGER) AS "rank", round(m, 4) AS distance_m FROM r WHERE rk <= 5"""
 )
 def net101_nearest_segments(spark, sf_dir):
-    near = joins.within(points(spark, sf_dir), targets(spark, sf_dir), 5000.0, 0.05).select("point_id", F.col("node_id").alias("from_node"), "distance_m")
-    rows = near.join(edges(spark, sf_dir).select("edge_id", "from_node", "to_node"), "from_node")
-    return relate.nearest_segments(rows, "point_id", 5).select("point_id", "edge_id", "a", "b", "rank", F.round("distance_m", 4).alias("distance_m"))
+    found = relate.nearest_segments_of_places(points(spark, sf_dir), targets(spark, sf_dir), edges(spark, sf_dir), "point_id", 5000.0, 0.05, 5)
+    return found.select("point_id", "edge_id", "a", "b", "rank", F.round("distance_m", 4).alias("distance_m"))
 
 
 SNAPPED = NEAR + ", s AS (SELECT point_id AS point, node_id AS node, node_id % 4 AS component, round(m, 4) AS m FROM d WHERE m <= 5000), pr AS (SELECT s_suppkey AS origin, (s_suppkey * 7 + 1) % (SELECT count(*) FROM supplier) AS destination FROM supplier)"
 
 
 def snapped(spark, sf_dir):
-    rows = joins.within(points(spark, sf_dir), targets(spark, sf_dir), 5000.0, 0.05)
-    return rows.select(F.col("point_id").alias("point"), F.col("node_id").alias("node"), (F.col("node_id") % 4).alias("component"), F.round("distance_m", 4).alias("distance_m"))
+    """Of each place and component the smallest node, for those who want the nearest."""
+    few = joins.thinned(targets(spark, sf_dir).withColumn("component", F.col("node_id") % 4), ["component"], "node_id", 1)
+    snap = lambda x: joins.within(x, few, 5000.0, 0.05).select("point_id", "node_id", "component", F.round("distance_m", 4).alias("distance_m"))
+    rows = relate.once_per_place(points(spark, sf_dir), snap, "point_id")
+    return rows.select(F.col("point_id").alias("point"), F.col("node_id").alias("node"), "component", "distance_m")
 
 
 def asked_pairs(spark, sf_dir):
