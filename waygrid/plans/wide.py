@@ -314,12 +314,12 @@ MERGED = """{n} AS (SELECT edge_id, min(s) AS s, max(e) AS e FROM (SELECT *, sum
 
 @query(f"WITH w AS (SELECT DISTINCT * FROM ({WINDOWS.sql})), " + MERGED.format(n="m", side="0, 1") + " SELECT edge_id, s, e FROM m")
 def net176_merged_windows(spark, sf_dir):
-    return relate.merge_windows(WINDOWS(spark, sf_dir).distinct(), ["edge_id"], "s", "e")
+    return relate.merge_windows(WINDOWS(spark, sf_dir), ["edge_id"], "s", "e")
 
 
 @query(f"WITH w AS (SELECT DISTINCT * FROM ({WINDOWS.sql})), {MERGED.format(n='a', side='0')}, {MERGED.format(n='b', side='1')} SELECT edge_id, greatest(a.s, b.s) AS s, least(a.e, b.e) AS e FROM a JOIN b USING (edge_id) WHERE a.s <= b.e AND b.s <= a.e")
 def net176_common_windows(spark, sf_dir):
-    rows = WINDOWS(spark, sf_dir).distinct()
+    rows = WINDOWS(spark, sf_dir)
     a, b = (relate.merge_windows(rows.where(F.col("side") == k).drop("side"), ["edge_id"], "s", "e") for k in (0, 1))
     return relate.intersect_windows(a, b, ["edge_id"], "s", "e")
 
