@@ -46,10 +46,12 @@ def live_state(updates: DataFrame, ts: str = "ts") -> DataFrame:
             return
         held = state.get if state.exists else None
         for frame in frames:
-            for r in frame.itertuples():
-                if held is None or r.seq > held[0]:
-                    ends = -(-(int(r.at) + int(r.ttl_s)) // 60) * 60
-                    held = (int(r.seq), ends, str(r.action), float(r.speed))
+            # the latest of the frame's, the first of equals: no other one can stay
+            seq = frame["seq"].to_numpy()
+            k = int(seq.argmax()) if len(seq) else None
+            if k is not None and (held is None or seq[k] > held[0]):
+                ends = -(-(int(frame["at"].to_numpy()[k]) + int(frame["ttl_s"].to_numpy()[k])) // 60) * 60
+                held = (int(seq[k]), ends, str(frame["action"].to_numpy()[k]), float(frame["speed"].to_numpy()[k]))
         if held[2] == "clear":
             state.remove()
         else:
